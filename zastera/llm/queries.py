@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm
+from . import hmm, linededup, ratio
 from .common import prepare, remainder, table
 
 
@@ -18,5 +18,18 @@ def op1_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(docs, model, counts)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_hmm_score": op1_hmm_score}
-ORACLES: dict[str, str] = {}
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def op4_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ratio.judge(docs, ratio.weights(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hmm_score": op1_hmm_score,
+    "op2_line_dedup": op2_line_dedup,
+    "op4_ngram_ratio": op4_ngram_ratio,
+}
+ORACLES: dict[str, str] = {"op2_line_dedup": linededup.ORACLE}
