@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, linededup, ratio
+from . import gam, hmm, langid, linededup, ratio
 from .common import prepare, remainder, table
 
 
@@ -22,6 +22,18 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op3_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"))
+    model = gam.train(docs.filter("NOT held_out"), table(spark, sf_dir, "labels").filter(remainder(F.col("doc_id"), 3) != 1))
+    return gam.score(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"))
+    model = langid.train(docs.filter("NOT held_out"))
+    return langid.predict(docs.select("doc_id", "text", "held_out"), model).drop("text")
+
+
 def op4_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return ratio.judge(docs, ratio.weights(docs, table(spark, sf_dir, "labels")))
@@ -30,6 +42,8 @@ def op4_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm_score": op1_hmm_score,
     "op2_line_dedup": op2_line_dedup,
+    "op3_gam_quality": op3_gam_quality,
+    "op5_language_id": op5_language_id,
     "op4_ngram_ratio": op4_ngram_ratio,
 }
 ORACLES: dict[str, str] = {"op2_line_dedup": linededup.ORACLE}
