@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gam, hmm, langid, linededup, ratio
+from . import automaton, gam, hmm, langid, linededup, ratio, warc
 from .common import prepare, remainder, table
 
 
@@ -34,6 +34,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", "held_out"), model).drop("text")
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+
+
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return ratio.judge(docs, ratio.weights(docs, table(spark, sf_dir, "labels")))
@@ -44,6 +52,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_gam_quality": op3_gam_quality,
     "op5_language_id": op5_language_id,
+    "op6_warc_derivatives": op6_warc_derivatives,
+    "op7_licence_scan": op7_licence_scan,
     "op4_ngram_ratio": op4_ngram_ratio,
 }
 ORACLES: dict[str, str] = {"op2_line_dedup": linededup.ORACLE}
