@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton, gam, hmm, langid, linededup, ratio, warc
+from . import automaton, fsjoin, gam, hmm, langid, linededup, posindex, ratio, triebpe, warc
 from .common import prepare, remainder, table
 
 
@@ -42,6 +42,25 @@ def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fsjoin.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = posindex.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triebpe.digest(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op4_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return ratio.judge(docs, ratio.weights(docs, table(spark, sf_dir, "labels")))
@@ -54,6 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_warc_derivatives": op6_warc_derivatives,
     "op7_licence_scan": op7_licence_scan,
+    "op8_jaccard_join": op8_jaccard_join,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_trie_bpe": op10_trie_bpe,
     "op4_ngram_ratio": op4_ngram_ratio,
 }
-ORACLES: dict[str, str] = {"op2_line_dedup": linededup.ORACLE}
+ORACLES: dict[str, str] = {"op2_line_dedup": linededup.ORACLE, "op8_jaccard_join": fsjoin.ORACLE, "op9_decontaminate": posindex.ORACLE}
