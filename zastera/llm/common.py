@@ -47,3 +47,15 @@ def remainder(doc_id: Column, by: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows whose ids are broadcast at most; more are joined by shuffle.
+MOST_IDS = 4_000_000
+
+
+def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without those whose monotonically_increasing_id() is in rows (row); docs has to read the same way twice."""
+    rows = scratch(rows.select("row"), "rows")
+    packed = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    rows = F.broadcast(rows) if rows.count() <= MOST_IDS else rows
+    return packed.join(rows, "row", "left_anti").select("doc.*")

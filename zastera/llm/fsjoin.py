@@ -4,12 +4,16 @@ A document is its set of distinct 3-word shingles (a shorter one the one shingle
 global order, that of their 64-bit hashes, and the order is cut into fragments.
 
 1. Documents with equal sets form a class (128-bit fingerprint of the set); one represents it.
-2. Two sets with a Jaccard similarity of SHARE % or more differ in at most d shingles, d by the smaller's size. Cut
-   into d + 1 fragments, they agree in one of them. Each set sends a hash of every fragment, for its own size class
-   and the one below; a set that leaves a fragment empty sends those of another cut too, so that none is missed.
-3. Of sets with an equal fragment, each is paired with the first. Of those that are still apart, members are paired
-   with the next ones in the group, in rounds, until every pair of the group is compared or joined. No pairs of a
-   whole group are made at once.
+2. The order is that of the hashes, but shingles that occur in many documents (HOT or more; at most MOST_HOT of
+   them, counted over all rows) come last, as a fragment of their own. Two sets of SHARE % similarity differ in at
+   most d shingles, d by the smaller's size. Cut into d + 2 fragments, they agree in two, so in one that isn't the
+   hot one. Each set sends a hash of every other fragment, for its own size class and the one below. A set that
+   leaves one of them empty sends those of another cut too, and after LEVELS cuts those of all its shingles in d + 1
+   fragments, the empty ones as well: two similar sets that agree in empty fragments only both do so, and meet.
+3. Groups of sets with an equal fragment are taken once each, though they share many. Every member is first paired
+   with the group's first. Groups that are then still of several components are cut into blocks of BLOCK sets, and
+   every pair of blocks is compared in a task of its own, which returns no more links than it has sets. So all
+   pairs of a group are judged, but none are written out.
 4. A pair's overlap is counted in each of PARTS fragments separately and summed; the exact rule decides.
 5. Components of the links, and every copy back to its class.
 
@@ -19,16 +23,19 @@ monotonically_increasing_id() over docs, which has to read the same way twice.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import prepare, scratch
+from .common import MOST_IDS, prepare, scratch
 from .components import components
+from .hmm import frequent
 
-WORDS, SHARE, PARTS, LEVELS, MOST_IDS, STEP = 3, 90, 4, 6, 4_000_000, 8
+WORDS, SHARE, PARTS, LEVELS, BLOCK, HOT, MOST_HOT = 3, 90, 4, 6, 128, 16, 2_000_000
 
 
 class Sizes:
@@ -37,14 +44,18 @@ class Sizes:
     def __init__(self, share: int):
         self.share, self.low = share, [1]
 
+    def _grow(self) -> None:
+        b = self.low[-1]
+        self.low.append(max(b + 1, (b - 1) * 100 // self.share + 1))
+
     def of(self, n: int) -> int:
         while self.low[-1] <= n:
-            b = self.low[-1]
-            self.low.append(max(b + 1, (b - 1) * 100 // self.share + 1))
-        return int(np.searchsorted(self.low, n, "right")) - 1
+            self._grow()
+        return bisect_right(self.low, n) - 1
 
     def fragments(self, k: int) -> int:
-        self.of(self.low[-1])
+        while len(self.low) < k + 2:
+            self._grow()
         most = self.low[k + 1] - 1  # of the smaller set; the union is at most 100 / share of it
         return most * (100 - self.share) // self.share + 1
 
@@ -56,23 +67,28 @@ def shingles(h: np.ndarray) -> np.ndarray:
     return np.unique(K.combine(h[:-2], h[1:-1], h[2:]))
 
 
-def signatures(s: np.ndarray, sizes: Sizes) -> np.ndarray:
+def _cut(s: np.ndarray, f: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each of f fragments of sorted hashes, and whether it holds any."""
+    cuts = np.arange(1, f, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // f)
+    bound = np.concatenate([[0], np.searchsorted(s, cuts), [len(s)]])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)))])
+    return K.combine(total[bound[1:]] - total[bound[:-1]], K.mix(np.arange(f, dtype=np.uint64) + np.uint64(salt))), bound[1:] > bound[:-1]
+
+
+def signatures(s: np.ndarray, hot: np.ndarray, sizes: Sizes) -> np.ndarray:
     own = sizes.of(len(s))
+    cold = s[~hot]
     out = []
     for k in {own, max(own - 1, 0)}:
         f = sizes.fragments(k)
-        cuts = np.arange(1, f, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // f)
         for level in range(LEVELS):
-            order = s if level == 0 else np.sort(K.mix(s + np.uint64(level) * K.ODD))
-            bound = np.concatenate([[0], np.searchsorted(order, cuts), [len(s)]])
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(order ^ np.uint64(0xA5A5A5A5A5A5A5A5)))])
-            salt = K.mix(np.arange(f, dtype=np.uint64) + np.uint64((k << 32) | (level << 28)))
-            sig = K.combine(total[bound[1:]] - total[bound[:-1]], salt)
-            full = bound[1:] > bound[:-1]
-            if full.all() or level == LEVELS - 1:
-                out.append(sig)
-                break
+            order = cold if level == 0 else np.sort(K.mix(cold + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
+            sig, full = _cut(order, f, k << 32 | level << 28)
             out.append(sig[full])
+            if full.all():
+                break
+        else:
+            out.append(_cut(s, f, k << 32 | LEVELS << 28)[0])
     return np.concatenate(out)
 
 
@@ -83,18 +99,46 @@ def _rows(batch: pa.RecordBatch):
             yield shingles(w.hash[a:b])
 
 
+def hot_shingles(docs: DataFrame) -> np.ndarray:
+    """Shingles of HOT documents or more, as far as single tasks see them twice; the MOST_HOT most frequent."""
+
+    def run(batches):
+        held: list[np.ndarray] = []
+        size = 0
+
+        def twice():
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
+
+        for batch in batches:
+            for s in _rows(batch):
+                held.append(s)
+                size += len(s)
+            if size > 1 << 20:
+                yield twice()
+                held, size = [], 0
+        if held:
+            yield twice()
+
+    counts = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(f"n >= {HOT}")
+    counts = scratch(counts, "hot")
+    return np.sort(frequent(counts, MOST_HOT).toArrow()["h"].to_numpy().view(np.uint64))
+
+
 def sets(docs: DataFrame, share: int) -> DataFrame:
     """(row, doc_id, n, f1, f2, sigs) of docs (row, doc_id, text)."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs))
+
     def run(batches):
-        sizes = Sizes(share)
+        sizes, hot = Sizes(share), K.HashIndex(shared.value)
         for batch in batches:
             n, f1, f2, sigs = [], [], [], []
             for s in _rows(batch):
                 n.append(len(s))
                 f1.append(int(K.mix(s).sum(dtype=np.uint64).view(np.int64)))
                 f2.append(int(K.mix(s ^ np.uint64(0x0123456789ABCDEF)).sum(dtype=np.uint64).view(np.int64)))
-                sigs.append(signatures(s, sizes).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                sigs.append(signatures(s, hot.find(s) >= 0, sizes).view(np.int64) if len(s) else np.zeros(0, np.int64))
             cut = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([*sigs, np.zeros(0, np.int64)])))], ["row", "doc_id", "n", "f1", "f2", "sigs"])
 
@@ -138,14 +182,70 @@ def linked(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, share: int) -> D
 
 
 def _apart(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """(sig, row, root, at) of the groups whose members aren't all of one component; at: place in the group."""
+    """(sig, row, root, block, blocks) of the groups whose members aren't all of one component."""
     member = groups.select("sig", "row").join(roots.withColumnRenamed("node", "row"), "row", "left").select("sig", "row", F.coalesce("root", "row").alias("root"))
-    split = member.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("sig")
-    return member.join(split, "sig").withColumn("at", F.expr("row_number() OVER (PARTITION BY sig ORDER BY row)"))
+    split = member.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high").select("sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    return member.join(split, "sig").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+
+
+def overlaps(items: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of sorted sets, summed over PARTS fragments of the order."""
+    out = np.zeros((len(items), len(items)), np.int64)
+    cuts = np.arange(1, PARTS, dtype=np.uint64) * np.uint64((1 << 64) // PARTS)
+    bound = [np.concatenate([[0], np.searchsorted(x, cuts), [len(x)]]) for x in items]
+    for part in range(PARTS):
+        own = [x[b[part] : b[part + 1]] for x, b in zip(items, bound, strict=True)]
+        who = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        _, col, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        keep = n[col] > 1
+        who, col = who[keep], np.unique(col[keep], return_inverse=True)[1]
+        order = np.argsort(col, kind="stable")
+        who, col = who[order], col[order]
+        for first in range(0, int(col[-1]) + 1 if len(col) else 0, 8192):
+            a, b = np.searchsorted(col, [first, first + 8192])
+            m = np.zeros((len(items), 8192), np.float32)
+            m[who[a:b], col[a:b] - first] = 1
+            out += (m @ m.T).astype(np.int64)
+    return out
+
+
+def block_links(apart: DataFrame, items: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) that join components, from every pair of blocks of every group. items: (row, items)."""
+    sides = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))))
+    sent = apart.select("sig", "row", "root", sides.alias("x")).select("sig", "row", "root", "x.i", "x.j").join(items, "row")
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, root = table["row"].to_numpy(), table["root"].to_numpy()
+        sets_ = [x.values.to_numpy().view(np.uint64) for x in table["items"]]
+        a: np.ndarray = np.zeros(0, np.int64)
+        b = a
+        if (root != root[0]).any():
+            common = overlaps(sets_)
+            n = np.array([len(x) for x in sets_])
+            close = (100 * common >= share * (n[:, None] + n[None, :] - common)) & (root[:, None] != root[None, :])
+            x, y = np.nonzero(np.triu(close))
+            head = {r: r for r in root.tolist()}
+
+            def find(r):
+                while head[r] != r:
+                    head[r] = head[head[r]]
+                    r = head[r]
+                return r
+
+            keep = []
+            for k, (u, v) in enumerate(zip(root[x].tolist(), root[y].tolist(), strict=True)):
+                u, v = find(u), find(v)
+                if u != v:
+                    head[u] = v
+                    keep.append(k)
+            a, b = rows[x[keep]], rows[y[keep]]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return sent.groupBy("sig", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
-    """doc_id, row, n_shingles, class_id (smallest id with the same set), component_id of each row of docs (doc_id, text)."""
+    """doc_id, row, n_shingles, class_id (smallest id with the same set), component_id and root (a row) of each row of docs (doc_id, text)."""
     prepare(docs.sparkSession)
     docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     known = scratch(sets(docs, share), "sets")
@@ -155,30 +255,29 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     sigs = scratch(reps.select("row", F.explode("sigs").alias("sig")), "signatures")
     shared = sigs.groupBy("sig").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first < last").select("sig", "first")
     groups = scratch(sigs.join(shared, "sig"), "groups")
+    # Groups of the same members are one.
+    mark = F.sum(F.xxhash64("row").cast("decimal(38,0)"))
+    once = groups.groupBy("sig").agg(mark.alias("mark"), F.count("*").alias("size"), F.min("first").alias("first")).groupBy("mark", "size", "first").agg(F.min("sig").alias("sig")).select("sig")
+    groups = scratch(groups.join(once, "sig", "left_semi"), "groups")
     sizes = known.select("row", "n")
     pairs = scratch(groups.filter("row > first").select(F.col("row").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
-    links = roots = placed = None
-    done, step = pairs, 0
-    while True:
-        if not pairs.isEmpty():
-            found = scratch(linked(pairs, docs, sizes, share), "links")
-            links = found if links is None else links.unionByName(found)
-            roots = scratch(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
-            placed = scratch(_apart(groups, roots), "apart")
-        if placed is None or placed.filter(f"at > {step + 1}").isEmpty():
-            break
-        near = placed.withColumn("k", F.explode(F.sequence(F.lit(step + 1), F.lit(step + STEP)))).select("sig", (F.col("at") + F.col("k")).alias("at"), F.col("row").alias("b"), F.col("root").alias("root_b"))
-        more = near.join(placed, ["sig", "at"]).filter("root <> root_b").select(F.col("row").alias("a"), "b").distinct()
-        pairs = scratch(more.join(done, ["a", "b"], "left_anti"), "pairs")
-        done = done.unionByName(pairs)
-        step += STEP
+    roots = None
+    if not pairs.isEmpty():
+        links = scratch(linked(pairs, docs, sizes, share), "links")
+        edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        roots = scratch(components(edges), "roots")
+        apart = scratch(_apart(groups, roots), "apart")
+        items = fragments(docs, apart.select("row").distinct()).groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "items"))), lambda x: x["items"])).alias("items"))
+        more = scratch(block_links(apart, items, share), "more")
+        if not more.isEmpty():
+            roots = scratch(components(edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))), "roots")
     if roots is not None:
         classes = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         least = classes.groupBy("root").agg(F.min("class_id").alias("component_id"))
-        classes = classes.join(least, "root").select(*key, "class_id", "component_id")
+        classes = classes.join(least, "root").select(*key, "class_id", "component_id", "root")
     else:
-        classes = classes.select(*key, "class_id", F.col("class_id").alias("component_id"))
-    return known.select("row", "doc_id", *key).join(classes, key, "left").select("doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        classes = classes.select(*key, "class_id", F.col("class_id").alias("component_id"), F.col("rep").alias("root"))
+    return known.select("row", "doc_id", *key).join(classes, key, "left").select("doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("root", "row").alias("root"))
 
 
 ORACLE = r"""

@@ -198,8 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     return fit(x, rows["y"].to_numpy().astype(float))
 
 
-def score(docs: DataFrame, model: Gam) -> DataFrame:
-    """docs with text and any other columns, plus score."""
+def score(docs: DataFrame, model: Gam, name: str = "score") -> DataFrame:
+    """docs with text and any other columns, plus the score under a name of its own."""
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -209,7 +209,7 @@ def score(docs: DataFrame, model: Gam) -> DataFrame:
     def run(batches):
         m = shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.score(features(b.column(at))))], [*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.score(features(b.column(at))))], [*columns, name])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     return docs.mapInArrow(run, schema)

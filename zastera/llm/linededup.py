@@ -45,8 +45,8 @@ def windows(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) as doc_id, text, n_lines (not blank), n_removed; one row for each."""
-    docs = docs.select("doc_id", "text")
+    """docs (doc_id, text, more) as doc_id, text, n_lines (not blank), n_removed, doc (all columns as they were); one row for each."""
+    docs = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
     found = scratch(windows(docs), "windows")
     place = F.struct("doc_id", "row", F.col("places")[0].alias("at"))
     first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -61,6 +61,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         F.when(F.col("covered").isNull(), F.col("text")).otherwise(clean).alias("text"),
         F.coalesce(F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(BLANK)) != "")), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_removed"),
+        "doc",
     )
 
 

@@ -19,7 +19,7 @@ def op1_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("doc")
 
 
 def op3_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
