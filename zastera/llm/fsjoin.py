@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import MOST_IDS, prepare, scratch
+from .common import MOST_IDS, discard, prepare, scratch
 from .components import components
 from .hmm import frequent
 
@@ -146,8 +146,8 @@ def sets(docs: DataFrame, share: int) -> DataFrame:
     return docs.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, n long, f1 long, f2 long, sigs array<long>")
 
 
-def fragments(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(row, part, items) of the documents whose row is in rows: the hashes of each of PARTS fragments."""
+def fragments(docs: DataFrame, rows: DataFrame, parts: int = PARTS) -> DataFrame:
+    """(row, part, items) of the documents whose row is in rows: the hashes of each fragment of the order."""
     spark = docs.sparkSession
     if rows.count() <= MOST_IDS:
         wanted = spark.sparkContext.broadcast(np.sort(rows.toArrow()["row"].to_numpy()))
@@ -159,12 +159,12 @@ def fragments(docs: DataFrame, rows: DataFrame) -> DataFrame:
             if wanted is not None:
                 batch = batch.filter(pa.array(np.isin(batch.column("row").to_numpy(), wanted.value)))
             row, items = [], []
-            cuts = np.arange(1, PARTS, dtype=np.uint64) * np.uint64((1 << 64) // PARTS)
+            cuts = np.arange(1, parts, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // parts)
             for r, s in zip(batch.column("row").to_pylist(), _rows(batch), strict=True):
                 row.append(r)
                 items += np.split(s.view(np.int64), np.searchsorted(s, cuts))
             cut = np.concatenate([[0], np.cumsum([len(x) for x in items])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(row, np.int64), PARTS)), pa.array(np.tile(np.arange(PARTS, dtype=np.int32), len(row))), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([*items, np.zeros(0, np.int64)])))], ["row", "part", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(row, np.int64), parts)), pa.array(np.tile(np.arange(parts, dtype=np.int32), len(row))), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([*items, np.zeros(0, np.int64)])))], ["row", "part", "items"])
 
     return docs.select("row", "text").mapInArrow(run, "row long, part int, items array<long>")
 
@@ -182,9 +182,12 @@ def linked(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, share: int) -> D
 
 
 def _apart(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """(sig, row, root, block, blocks) of the groups whose members aren't all of one component."""
+    """(sig, row, root, block, blocks) of the groups of three or more whose members aren't all of one component.
+
+    A group's first has been compared with all others, so two are done.
+    """
     member = groups.select("sig", "row").join(roots.withColumnRenamed("node", "row"), "row", "left").select("sig", "row", F.coalesce("root", "row").alias("root"))
-    split = member.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high").select("sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    split = member.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high AND n > 2").select("sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     return member.join(split, "sig").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
 
 
@@ -248,13 +251,16 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """doc_id, row, n_shingles, class_id (smallest id with the same set), component_id and root (a row) of each row of docs (doc_id, text)."""
     prepare(docs.sparkSession)
     docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    known = scratch(sets(docs, share), "sets")
+    every = scratch(sets(docs, share), "sets")
+    known = scratch(every.drop("sigs"), "known")
     key = ["f1", "f2", "n"]
     classes = scratch(known.filter("n > 0").groupBy(*key).agg(F.min("row").alias("rep"), F.min("doc_id").alias("class_id")), "classes")
-    reps = known.filter("n > 0").join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
+    reps = every.filter("n > 0").join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
     sigs = scratch(reps.select("row", F.explode("sigs").alias("sig")), "signatures")
+    discard(every)
     shared = sigs.groupBy("sig").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first < last").select("sig", "first")
     groups = scratch(sigs.join(shared, "sig"), "groups")
+    discard(sigs)
     # Groups of the same members are one.
     mark = F.sum(F.xxhash64("row").cast("decimal(38,0)"))
     once = groups.groupBy("sig").agg(mark.alias("mark"), F.count("*").alias("size"), F.min("first").alias("first")).groupBy("mark", "size", "first").agg(F.min("sig").alias("sig")).select("sig")
@@ -267,7 +273,7 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
         edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
         roots = scratch(components(edges), "roots")
         apart = scratch(_apart(groups, roots), "apart")
-        items = fragments(docs, apart.select("row").distinct()).groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "items"))), lambda x: x["items"])).alias("items"))
+        items = fragments(docs, apart.select("row").distinct(), 1).select("row", "items")
         more = scratch(block_links(apart, items, share), "more")
         if not more.isEmpty():
             roots = scratch(components(edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))), "roots")
