@@ -7,11 +7,14 @@ type by first place in the text. Null texts have no paragraphs and come back as
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from zastera.functions.detectors import CVV, DETECTORS, EXPIRY, SECRET_TYPES, Detector
 
@@ -58,17 +61,62 @@ def _pass(before: Column, d: Detector, config: Config) -> Column:
     return F.flatten(F.transform(before, lambda s: F.when(s["type"].isNull() & s["text"].rlike(d.java), _split(s["text"], d, config)).otherwise(F.array(s))))
 
 
+#: Detectors that are still run as nested expressions.
+NATIVE = 6
+
+
+def _luhn(value: str) -> bool:
+    digits = [int(c) for c in value if c in "0123456789"]
+    return 13 <= len(digits) <= 19 and sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def _all_segments(detectors: list[Detector], config: Config):
+    """A function of a text column that splits by every detector in turn."""
+    steps = [(config.rename.get(t, t), re.escape(v), 0, False) for t, v in config.blacklist]
+    steps += [(config.rename.get(d.type, d.type), d.pattern, 0 if d.case else re.I, d.name == "card_bare") for d in detectors]
+    white, n_forced = frozenset(config.whitelist), len(config.blacklist)
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType())])))
+    def split(texts: pd.Series) -> pd.Series:
+        passes = [(t, re.compile(p if k >= n_forced else f"()({p})", flags), luhn) for k, (t, p, flags, luhn) in enumerate(steps)]
+
+        def one(text: str | None) -> list[dict]:
+            out: list[tuple[str | None, str]] = [(None, text or "")]
+            for type_, pattern, luhn in passes:
+                if not any(t is None and pattern.search(x) for t, x in out):
+                    continue
+                new: list[tuple[str | None, str]] = []
+                for t, x in out:
+                    if t is not None:
+                        new.append((t, x))
+                        continue
+                    at = 0
+                    for m in pattern.finditer(x):
+                        taken = m[2] not in white and (not luhn or _luhn(m[2]))
+                        new += [(None, x[at : m.start(2)]), (type_ if taken else None, m[2])]
+                        at = m.end()
+                    new.append((None, x[at:]))
+                out = [s for s in new if s[1]]
+            return [{"type": t, "text": x} for t, x in out]
+
+        return texts.map(one)
+
+    return split
+
+
 def segments(rows: DataFrame, config: Config = Config(), detectors: Iterable[Detector] = DETECTORS) -> DataFrame:
     """rows with text replaced by s, array<struct<type, text>> whose texts joined are the text.
 
-    One projection for each detector: a single expression of all would take the analyzer too many rounds, and the
-    optimizer joins them anyway.
+    Up to NATIVE detectors are expressions. More are one Arrow function: nested that deep, the expressions take the
+    optimizer longer than the work itself.
     """
+    detectors = [d for d in detectors if config.types is None or d.type in config.types]
+    if len(detectors) + len(config.blacklist) > NATIVE:
+        return rows.withColumn("s", _all_segments(detectors, config)("text")).drop("text")
     out = rows.withColumn("s", F.array(_segment(F.lit(None).cast("string"), F.col("text")))).drop("text")
     forced = [Detector(f"forced_{k}", t, "", "\\Q" + v + "\\E", True) for k, (t, v) in enumerate(config.blacklist)]
     for d in [*forced, *detectors]:
-        if config.types is None or d.type in config.types or d.name.startswith("forced_"):
-            out = out.withColumn("s", _pass(F.col("s"), d, config))
+        out = out.withColumn("s", _pass(F.col("s"), d, config))
     return out
 
 
