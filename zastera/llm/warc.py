@@ -82,7 +82,8 @@ def derive(rows: DataFrame) -> DataFrame:
                 sha, refers = digest(source), record_id("response", str(page), url or "", digest(source))
                 title, lang = _TITLE.search(payload), _LANG.search(payload)
                 fields = [("source-status", status), ("source-content-type", kind), ("source-content-length", str(len(source))), ("source-payload-digest", sha)]
-                fields += [("title", _line(entities.unescape(title[1])))] * bool(title) + [("language", lang[1])] * bool(lang)
+                fields += [("title", _line(entities.unescape(title[1])))] if title else []
+                fields += [("language", lang[1])] if lang else []
                 fields += [("outlink", _line(x)) for x in links(payload)]
                 blocks = (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields)), ("conversion", "text/plain; charset=utf-8", text_of(payload)))
                 for type_, content, block in blocks:
