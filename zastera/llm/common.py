@@ -41,11 +41,12 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes a scratch table of which nothing is read any more."""
+    """Deletes a scratch table of which nothing is read any more, and has Spark drop the shuffle files of ended jobs."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+    jvm.System.gc()  # Spark's cleaner drops what the driver no longer refers to
 
 
 def remainder(doc_id: Column, by: int) -> Column:

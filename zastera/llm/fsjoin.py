@@ -27,7 +27,7 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
@@ -255,12 +255,13 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     known = scratch(every.drop("sigs"), "known")
     key = ["f1", "f2", "n"]
     classes = scratch(known.filter("n > 0").groupBy(*key).agg(F.min("row").alias("rep"), F.min("doc_id").alias("class_id")), "classes")
-    reps = every.filter("n > 0").join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
-    sigs = scratch(reps.select("row", F.explode("sigs").alias("sig")), "signatures")
+    reps = classes.select(F.col("rep").alias("row"))
+    reps = F.broadcast(reps) if reps.count() <= MOST_IDS else reps
+    # One shuffle: a set sends many signatures, each once, so none has more than a small share of the rows; groups spill.
+    same = Window.partitionBy("sig")
+    sigs = every.filter("n > 0").join(reps, "row", "left_semi").select("row", F.explode("sigs").alias("sig"))
+    groups = scratch(sigs.select("sig", "row", F.min("row").over(same).alias("first"), F.max("row").over(same).alias("last")).filter("first < last").drop("last"), "groups")
     discard(every)
-    shared = sigs.groupBy("sig").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first < last").select("sig", "first")
-    groups = scratch(sigs.join(shared, "sig"), "groups")
-    discard(sigs)
     # Groups of the same members are one.
     mark = F.sum(F.xxhash64("row").cast("decimal(38,0)"))
     once = groups.groupBy("sig").agg(mark.alias("mark"), F.count("*").alias("size"), F.min("first").alias("first")).groupBy("mark", "size", "first").agg(F.min("sig").alias("sig")).select("sig")
