@@ -112,6 +112,34 @@ def test_overlaps_in_fragments():
     assert (fsjoin.overlaps(sets) == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]).all()
 
 
+def test_sketches_lose_no_pair():
+    rng = np.random.default_rng(4)
+    draw = lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
+    base = [np.sort(draw(n)) for n in (5, 40, 300, 6000)]
+    sets = [np.unique(np.concatenate([b[: len(b) - k], draw(k)])) for b in base for k in (0, len(b) // 40, len(b) // 20, len(b) // 3)]
+    group = np.repeat(np.arange(2), 8)
+    bits = np.stack([fsjoin.sketch(s) for s in sets])
+    got = fsjoin.may_link(group, np.arange(16), np.array([len(s) for s in sets]), bits, 90)
+    similar = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 90 * len(np.union1d(a, b))
+    want = np.array([any(similar(s, t) for j, t in enumerate(sets) if j != i and group[i] == group[j]) for i, s in enumerate(sets)])
+    assert want.sum() >= 8 and (got | ~want).all() and not got[11]
+    assert not fsjoin.may_link(group, np.zeros(16, int), np.array([len(s) for s in sets]), bits, 90).any()
+
+
+def test_blocks_find_what_the_first_members_miss(spark, monkeypatch):
+    """Chains: every text shares most with its neighbours, so groups hold several components after the first round."""
+    monkeypatch.setattr(fsjoin, "BLOCK", 2)
+    words = [f"u{k}" for k in range(400)]
+    texts = [" ".join(words[9 * k : 9 * k + 200]) for k in range(20)] + [" ".join([*words[:100], *(f"v{k}x{j}" for j in range(100))]) for k in range(9)]
+    got = {r["doc_id"]: r["component_id"] for r in fsjoin.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    want = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            want[i] = min(want[j] for j, b in enumerate(sets) if 100 * len(a & b) >= 90 * len(a | b))
+    assert got == dict(enumerate(want))
+
+
 def test_decontamination(spark):
     item = " ".join(f"t{k}" for k in range(20))
     docs = spark.createDataFrame([(1, f"a {item} b"), (2, "Short, item!"), (3, None), (4, item[:30])], "doc_id long, text string")

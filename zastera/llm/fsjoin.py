@@ -12,8 +12,10 @@ global order, that of their 64-bit hashes, and the order is cut into fragments.
    fragments, the empty ones as well: two similar sets that agree in empty fragments only both do so, and meet.
 3. Groups of sets with an equal fragment are taken once each, though they share many. Every member is first paired
    with the group's first. Groups that are then still of several components are cut into blocks of BLOCK sets, and
-   every pair of blocks is compared in a task of its own, which returns no more links than it has sets. So all
-   pairs of a group are judged, but none are written out.
+   every pair of blocks is compared in one task, first by sketches: SKETCH bits, each the parity of the shingles
+   that hash to it, differ in no more bits than the sets in shingles. Only sets that may be similar to one of another
+   component send their shingles on, and a pair of blocks returns no more links than it has sets. So all pairs of
+   a group are judged, but none are written out.
 4. A pair's overlap is counted in each of PARTS fragments separately and summed; the exact rule decides.
 5. Components of the links, and every copy back to its class.
 
@@ -35,7 +37,7 @@ from .common import MOST_IDS, discard, prepare, scratch
 from .components import components
 from .hmm import frequent
 
-WORDS, SHARE, PARTS, LEVELS, BLOCK, HOT, MOST_HOT = 3, 90, 4, 6, 128, 16, 2_000_000
+WORDS, SHARE, PARTS, LEVELS, BLOCK, HOT, MOST_HOT, SKETCH = 3, 90, 4, 6, 128, 16, 2_000_000, 512
 
 
 class Sizes:
@@ -92,6 +94,12 @@ def signatures(s: np.ndarray, hot: np.ndarray, sizes: Sizes) -> np.ndarray:
     return np.concatenate(out)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """For each of SKETCH bits, the parity of the shingles that hash to it, as longs."""
+    bit = (K.mix(s ^ np.uint64(0x5BF03635D1C6A9E7)) % np.uint64(SKETCH)).astype(np.int64)
+    return np.packbits(np.bincount(bit, minlength=SKETCH).astype(np.uint8) & 1).view(np.int64)
+
+
 def _rows(batch: pa.RecordBatch):
     for _, _, data, off in K.chunks(batch.column("text")):
         w = K.words(data, off, K.SPACED_LOWER)
@@ -126,24 +134,25 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def sets(docs: DataFrame, share: int) -> DataFrame:
-    """(row, doc_id, n, f1, f2, sigs) of docs (row, doc_id, text)."""
+    """(row, doc_id, n, f1, f2, sketch, sigs) of docs (row, doc_id, text)."""
 
     shared = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs))
 
     def run(batches):
         sizes, hot = Sizes(share), K.HashIndex(shared.value)
         for batch in batches:
-            n, f1, f2, sigs = [], [], [], []
+            n, f1, f2, bits, sigs = [], [], [], [], []
             for s in _rows(batch):
                 n.append(len(s))
                 f1.append(int(K.mix(s).sum(dtype=np.uint64).view(np.int64)))
                 f2.append(int(K.mix(s ^ np.uint64(0x0123456789ABCDEF)).sum(dtype=np.uint64).view(np.int64)))
+                bits.append(sketch(s))
                 sigs.append(signatures(s, hot.find(s) >= 0, sizes).view(np.int64) if len(s) else np.zeros(0, np.int64))
             cut = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([*sigs, np.zeros(0, np.int64)])))], ["row", "doc_id", "n", "f1", "f2", "sigs"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([*sigs, np.zeros(0, np.int64)])))], ["row", "doc_id", "n", "f1", "f2", "sketch", "sigs"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, n long, f1 long, f2 long, sigs array<long>")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, n long, f1 long, f2 long, sketch array<long>, sigs array<long>")
 
 
 def fragments(docs: DataFrame, rows: DataFrame, parts: int = PARTS) -> DataFrame:
@@ -212,10 +221,59 @@ def overlaps(items: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def block_links(apart: DataFrame, items: DataFrame, share: int) -> DataFrame:
-    """Links (a, b) that join components, from every pair of blocks of every group. items: (row, items)."""
+def may_link(group: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray, share: int) -> np.ndarray:
+    """Whether a row of a sorted group may be similar to one of its group and another root, by sketches and sizes."""
+    out = np.zeros(len(group), bool)
+    at, step = np.arange(len(group)), 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(group)]
+        at = at[group[at] == group[at + step]]
+        to = at + step
+        differ = np.bitwise_count((bits[at] ^ bits[to]).view(np.uint64)).sum(1, dtype=np.int64)
+        differ = np.maximum(differ, np.abs(n[at] - n[to]))
+        close = (differ * (100 + share) <= (n[at] + n[to]) * (100 - share)) & (root[at] != root[to])
+        out[at[close]] = True
+        out[to[close]] = True
+    return out
+
+
+def candidates(apart: DataFrame, sketches: DataFrame, share: int) -> DataFrame:
+    """(sig, i, j, row, root): members of pairs of blocks that may be similar to one of another component. sketches: (row, n, sketch)."""
     sides = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))))
-    sent = apart.select("sig", "row", "root", sides.alias("x")).select("sig", "row", "root", "x.i", "x.j").join(items, "row")
+    sent = apart.join(sketches, "row").select("sig", "row", "root", "n", "sketch", sides.alias("x")).select("sig", "x.i", "x.j", "row", "root", "n", "sketch")
+    key = ["sig", "i", "j"]
+
+    def judge(t: pa.Table, start: np.ndarray):
+        bits = t["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, SKETCH // 64)
+        keep = may_link(np.cumsum(start), t["root"].to_numpy(), t["n"].to_numpy(), bits, share)
+        yield from t.select([*key, "row", "root"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    def run(batches):
+        held = None  # the last group so far, at most two blocks
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            start = np.zeros(t.num_rows, bool)
+            start[0] = True
+            for c in key:
+                x = t[c].to_numpy()
+                start[1:] |= x[1:] != x[:-1]
+            last = int(np.flatnonzero(start)[-1])
+            if last:
+                yield from judge(t.slice(0, last), start[:last])
+            held = t.slice(last)
+        if held is not None:
+            yield from judge(held, np.zeros(held.num_rows, bool))
+
+    return sent.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "sig long, i int, j int, row long, root long")
+
+
+def block_links(close: DataFrame, items: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) that join components, from pairs of blocks (sig, i, j, row, root). items: (row, items)."""
+    sent = close.join(items, "row")
 
     def run(table: pa.Table) -> pa.Table:
         rows, root = table["row"].to_numpy(), table["root"].to_numpy()
@@ -273,9 +331,9 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
         links = scratch(linked(pairs, docs, sizes, share), "links")
         edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
         roots = scratch(components(edges), "roots")
-        apart = scratch(_apart(groups, roots), "apart")
-        items = fragments(docs, apart.select("row").distinct(), 1).select("row", "items")
-        more = scratch(block_links(apart, items, share), "more")
+        close = scratch(candidates(_apart(groups, roots), known.select("row", "n", "sketch"), share), "close")
+        items = fragments(docs, close.select("row").distinct(), 1).select("row", "items")
+        more = scratch(block_links(close, items, share), "more")
         if not more.isEmpty():
             roots = scratch(components(edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))), "roots")
     if roots is not None:
