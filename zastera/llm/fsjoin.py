@@ -14,7 +14,7 @@ global order, that of their 64-bit hashes, and the order is cut into fragments.
    with the group's first. Groups that are then still of several components are cut into blocks of BLOCK sets, and
    every pair of blocks is compared in one task, first by sketches: SKETCH bits, each the parity of the shingles
    that hash to it, differ in no more bits than the sets in shingles. Only sets that may be similar to one of another
-   component send their shingles on, and a pair of blocks returns no more links than it has sets. So all pairs of
+   component send their shingles on, once for all pairs of blocks that keep the same sets, and a pair of blocks returns no more links than it has sets. So all pairs of
    a group are judged, but none are written out.
 4. A pair's overlap is counted in each of PARTS fragments separately and summed; the exact rule decides.
 5. Components of the links, and every copy back to its class.
@@ -271,6 +271,14 @@ def candidates(apart: DataFrame, sketches: DataFrame, share: int) -> DataFrame:
     return sent.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "sig long, i int, j int, row long, root long")
 
 
+def distinct_groups(close: DataFrame) -> DataFrame:
+    """close without pairs of blocks whose members are the same as another's: long texts meet in very many."""
+    key = ["sig", "i", "j"]
+    marks = close.groupBy(*key).agg(F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("mark"), F.count("*").alias("size"))
+    once = marks.groupBy("mark", "size").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
+    return close.join(once, key, "left_semi")
+
+
 def block_links(close: DataFrame, items: DataFrame, share: int) -> DataFrame:
     """Links (a, b) that join components, from pairs of blocks (sig, i, j, row, root). items: (row, items)."""
     sent = close.join(items, "row")
@@ -332,6 +340,7 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
         edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
         roots = scratch(components(edges), "roots")
         close = scratch(candidates(_apart(groups, roots), known.select("row", "n", "sketch"), share), "close")
+        close = scratch(distinct_groups(close), "close")
         items = fragments(docs, close.select("row").distinct(), 1).select("row", "items")
         more = scratch(block_links(close, items, share), "more")
         if not more.isEmpty():
