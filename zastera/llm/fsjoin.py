@@ -37,7 +37,7 @@ from .common import MOST_IDS, discard, prepare, scratch
 from .components import components
 from .hmm import frequent
 
-WORDS, SHARE, PARTS, LEVELS, BLOCK, HOT, MOST_HOT, SKETCH = 3, 90, 4, 6, 128, 16, 2_000_000, 512
+WORDS, SHARE, PARTS, LEVELS, BLOCK, HOT, MOST_HOT, SKETCH = 3, 90, 4, 6, 128, 16, 2_000_000, 2048
 
 
 class Sizes:
