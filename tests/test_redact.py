@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from zastera.__main__ import main
 from zastera.functions.detectors import BY_NAME
 from zastera.operators import audit, people, redact
 
@@ -21,6 +22,28 @@ def test_detectors(spark, name, text, value):
     assert got == ([value] if value else [])
 
 
+def test_persons_and_maiden_names_within_redaction(spark):
+    text = "JAN NOVÁK volal.\nIng. Jan Novák (jan@example.com) s Evou Novákovou (rozená Malá) a Janem Novákem."
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    clear, known = people.redact_all(docs)
+    want = "[[PERSON_1]] volal.\nIng. [[PERSON_1]] ([[EMAIL_1]]) s [[PERSON_2]] (rozená [[PERSON_3]]) a [[PERSON_1]]."
+    assert {r["doc_id"]: r["text"] for r in clear.collect()} == {1: want, 2: None, 3: ""}
+    assert {(r["label"], r["original"], r["occurrences"]) for r in known.collect()} == {("[[PERSON_1]]", "Jan Novák", 3), ("[[PERSON_2]]", "Eva Nováková", 1), ("[[PERSON_3]]", "Malá", 1), ("[[EMAIL_1]]", "jan@example.com", 1)}
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("Zoran Kos, heslo: abc, zoran@example.com")
+    (tmp_path / "names.json").write_text('{"firstnames": {"M": ["Zoran"], "F": []}}')
+    args = [str(tmp_path / "in"), str(tmp_path / "out"), "--format", "text", "--names-json", str(tmp_path / "names.json"), "--run", "r"]
+    assert main(args) == 0
+    assert [r["text"] for r in spark.read.parquet(f"{tmp_path}/out/r/documents").collect()] == ["[[PERSON_1]], heslo: [[PASSWORD_1]], [[EMAIL_1]]"]
+    lines = {r[0] for r in spark.read.text(f"{tmp_path}/out/r/map_txt").collect()}
+    assert "PASSWORD → [[PASSWORD_1]] : *** (výskyty: 1)" in lines and len(lines) == 3
+    (tmp_path / "none").mkdir()
+    assert main([str(tmp_path / "none"), str(tmp_path / "out")]) == 2 and main([]) == 2
+
+
 def test_case_forms_are_one_person(spark):
     docs = spark.createDataFrame([(1, "Ing. Jan Novák přišel s Janem Novákem.")], "doc_id long, text string")
     assert [(r["label"], r["first"], r["last"], r["occurrences"]) for r in people.link(people.persons(docs)).collect()] == [("[[PERSON_1]]", "Jan", "Novák", 2)]

@@ -44,14 +44,14 @@ def surname_variants(x: Column) -> Column:
     return F.array_sort(F.array_distinct(forms))
 
 
-def library(spark: SparkSession) -> DataFrame:
+def library(spark: SparkSession, male: list[str] = MALE, female: list[str] = FEMALE) -> DataFrame:
     """(form, first, gender): case forms of the library's first names."""
     rows = []
-    for n in MALE:
+    for n in male:
         stem = n[:-2] if n[-2:] in ("el", "ek") else n[:-1] if n[-1] == "í" else n
         tail = n[-1] if n[-2:] in ("el", "ek") else ""
         ends = ("ího", "ímu", "ím") if n[-1] == "í" else ("e", "ovi", "i", "em") if n[-1] in "šřjc" else ("a", "ovi", "u", "em")
         rows += [(n, n, "M"), *((stem + tail + e, n, "M") for e in ends)]
-    for n in FEMALE:
+    for n in female:
         rows += [(n, n, "F"), *((n[:-1] + e, n, "F") for e in ("y", "u", "ou", "ě") if n[-1] == "a")]
     return spark.createDataFrame(sorted(set(rows)), "form string, first string, gender string")

@@ -7,31 +7,58 @@ from pyspark.sql import functions as F
 
 from zastera.functions.names import library, normalize_key, surname_nominative
 
+from .audit import tags
+from .redact import Config, redact
+
 UPPER = r"\p{Lu}\p{Ll}+"
-# Titles before a name.
+# Titles before a name, and what stands before a maiden name.
 TITLES = r"(?:Ing|Mgr|Bc|MUDr|JUDr|PhDr|RNDr|Dr|prof|doc|pan|paní|Pan|Paní|slečna)\.?"
 CANDIDATE = rf"(?<!\p{{L}})(?:{TITLES}\s+)*({UPPER}(?:[ ]{UPPER}){{1,3}})(?!\p{{L}})"
+MAIDEN = rf"\((?:rozen(?:á|ou|é)|roz\.|dříve|dřív|původně)\s+({UPPER})\)"
+#: Maiden names are numbered after the other persons of their line.
+AFTER = 1 << 20
+
+
+def _in_lines(docs: DataFrame, pattern: str) -> DataFrame:
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("para_no", "line"))
+    return rows.select("doc_id", "para_no", F.posexplode(F.regexp_extract_all("line", F.lit(pattern), F.lit(1))).alias("pos", "surface"))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, para_no, pos, surface): runs of two to four capitalised words."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("para_no", "line"))
-    return rows.select("doc_id", "para_no", F.posexplode(F.regexp_extract_all("line", F.lit(CANDIDATE), F.lit(1))).alias("pos", "surface"))
+    return _in_lines(docs, CANDIDATE)
+
+
+def _nominative(form: str):
+    return F.when((F.col("gender") == "F") & F.col(form).rlike("(?:ová|á)$"), F.col(form)).otherwise(surname_nominative(F.col(form)))
 
 
-def persons(docs: DataFrame) -> DataFrame:
-    """Candidates whose first word is a form of a known first name: first and last in the nominative, and the keys."""
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "para_no", "pos", "surface", "first", "last", "gender", normalize_key(F.col("first")).alias("first_key"), normalize_key(F.col("last")).alias("last_key"))
+
+
+def persons(docs: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Candidates whose first word is a form of a known first name: first and last in the nominative, and the keys.
+
+    names: (form, first, gender), by default the library of this package.
+    """
     found = candidates(docs).withColumn("form", F.substring_index("surface", " ", 1)).withColumn("last_form", F.substring_index("surface", " ", -1))
-    known = found.join(F.broadcast(library(docs.sparkSession)), "form")  # the library is a fixed short list
-    last = F.when((F.col("gender") == "F") & F.col("last_form").rlike("(?:ová|á)$"), F.col("last_form")).otherwise(surname_nominative(F.col("last_form")))
-    return known.withColumn("last", last).select("doc_id", "para_no", "pos", "surface", "first", "last", "gender", normalize_key(F.col("first")).alias("first_key"), normalize_key(F.col("last")).alias("last_key"))
+    # The own library is a fixed short list; Spark sizes up another one itself.
+    known = found.join(F.broadcast(library(docs.sparkSession)) if names is None else names, "form")
+    return _keyed(known.withColumn("last", _nominative("last_form")))
+
 
+def maiden_names(docs: DataFrame) -> DataFrame:
+    """Surnames in brackets after `rozená` and the like, as persons without a first name."""
+    rows = _in_lines(docs, MAIDEN).withColumn("pos", F.col("pos") + AFTER).withColumn("first", F.lit("")).withColumn("gender", F.lit("F"))
+    return _keyed(rows.withColumn("last", _nominative("surface")))
 
-def link(found: DataFrame) -> DataFrame:
-    """(doc_id, label, first, last, variants): one row for each person of a document, numbered by first place."""
+
+def link(found: DataFrame, type_: str = "PERSON") -> DataFrame:
+    """(doc_id, idx, label, first, last, variants, occurrences): one row for each person of a document, numbered by first place."""
     rows = found.groupBy("doc_id", "first_key", "last_key").agg(F.min(F.struct("para_no", "pos", "first", "last")).alias("at"), F.array_sort(F.collect_set("surface")).alias("variants"), F.count("*").alias("occurrences"))
-    idx = F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY at.para_no, at.pos)")
-    return rows.select("doc_id", F.concat(F.lit("[[PERSON_"), idx.cast("string"), F.lit("]]")).alias("label"), "at.first", "at.last", "variants", "occurrences")
+    rows = rows.withColumn("idx", F.expr("CAST(row_number() OVER (PARTITION BY doc_id ORDER BY at.para_no, at.pos) AS BIGINT)"))
+    return rows.select("doc_id", "idx", F.concat(F.lit(f"[[{type_}_"), F.col("idx").cast("string"), F.lit("]]")).alias("label"), "at.first", "at.last", "variants", "occurrences")
 
 
 def backfill(docs: DataFrame, people: DataFrame) -> DataFrame:
@@ -42,3 +69,17 @@ def backfill(docs: DataFrame, people: DataFrame) -> DataFrame:
     per = forms.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("form")).alias("k"), "form", "label"))).alias("forms"))
     swap = F.aggregate("forms", F.col("text"), lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?<!\p{L})\Q"), x["form"], F.lit(r"\E(?!\p{L})")), x["label"]))
     return docs.select("doc_id", "text").join(per, "doc_id", "left").select("doc_id", F.when(F.col("forms").isNull(), F.col("text")).otherwise(swap).alias("text"))
+
+
+def redact_all(docs: DataFrame, config: Config = Config(), names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Detectors, then persons in what they left: the redacted documents and one map. A person's original is the nominative."""
+    clear, known = redact(docs, config)
+    if config.types is not None and "PERSON" not in config.types:
+        return clear, known
+    type_ = config.rename.get("PERSON", "PERSON")
+    found = persons(clear, names).unionByName(maiden_names(clear))
+    people = link(found.filter(~F.col("surface").isin(*config.whitelist)) if config.whitelist else found, type_)
+    out = backfill(clear, people)
+    rows = people.drop("occurrences").join(tags(out).withColumnRenamed("n", "occurrences"), ["doc_id", "label"])
+    rows = rows.select("doc_id", F.lit(type_).alias("type"), "idx", "label", F.trim(F.concat_ws(" ", "first", "last")).alias("original"), "occurrences")
+    return out, known.unionByName(rows)
