@@ -22,7 +22,7 @@ GAP = r"[ \t-\r]+"
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), GAP, -1), lambda x: x != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP, -1), "")
 
 
 def hashes(tokens: Column) -> Column:
@@ -64,7 +64,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
     triples = F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.get("h", i - 1), F.get("h", i), F.get("h", i + 1)))).otherwise(F.array().cast("array<bigint>"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^ \t-\r]"))
     rows = rows.select("doc_id", "h", F.length(F.array_join("w", "")).alias("chars"), (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).alias("symbols"), (F.size(lines) - F.size(F.array_distinct(lines))).alias("dup"), triples.alias("t"))
-    sorted_ = F.array_sort(F.transform("t", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    sorted_ = F.sort_array(F.transform("t", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
     same = lambda s, i, j: F.get(s, i)["x"] == F.get(s, j)["x"]
     rows = rows.withColumn("s", F.when(F.size(F.array_distinct("t")) < F.size("t"), sorted_).otherwise(F.array().cast("array<struct<x:bigint,i:int>>")))
     twice = F.filter("s", lambda x, k: F.coalesce(same(F.col("s"), k, k - 1), F.lit(False)) | F.coalesce(same(F.col("s"), k, k + 1), F.lit(False)))
