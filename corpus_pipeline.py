@@ -29,8 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group that links join."""
-    found = scratch(fsjoin.near_duplicates(docs).select("root", "row", "doc_id"), "found")
+    """One document, that of the smallest id, of each group that links of similarity 0.8 or more on five-word shingles join."""
+    found = scratch(fsjoin.near_duplicates(docs, share=80, words=5).select("root", "row", "doc_id"), "found")
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", "first.row")
     later = found.join(first.select("root"), "root", "left_semi").join(first.select("row"), "row", "left_anti")
     return without_rows(docs, later)

@@ -1,0 +1,57 @@
+"""Stages of corpus_pipeline.py against plain versions."""
+
+import corpus_pipeline
+import numpy as np
+import pytest
+
+from zastera.llm import fsjoin
+
+
+def changed(words, *at):
+    return " ".join(f"z{k}" if k in at else w for k, w in enumerate(words))
+
+
+A, B = ([f"{c}{k}" for k in range(60)] for c in "ab")
+# Similarity on five and on three words: of 1 and 2 0.806 and 0.871, of 3 and 4 0.697 and 0.813, of 6 and 7 1.
+TEXTS = [(1, " ".join(A)), (2, changed(A, 0, 55)), (3, " ".join(B)), (4, changed(B, 20, 40)), (5, None), (6, "one two three four"), (7, "One  two three four"), (8, "one two three")]
+
+
+def groups(words, share):
+    shingles = []
+    for _, t in TEXTS:
+        w = (t or "").lower().split()
+        shingles.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    return {k: min([k, *(j for (j, _), t in zip(TEXTS, shingles, strict=True) if s and 100 * len(s & t) >= share * len(s | t))]) for (k, _), s in zip(TEXTS, shingles, strict=True)}
+
+
+@pytest.mark.parametrize("words, share", [(3, 90), (5, 80), (1, 80), (5, 60)])
+def test_shingle_length_and_share(spark, words, share):
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in fsjoin.near_duplicates(docs, share, words).collect()} == groups(words, share)
+
+
+def test_near_duplicates_stage(spark, tmp_path):
+    spark.createDataFrame(TEXTS, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    got = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/docs"), "")
+    want = groups(5, 80)
+    assert sorted(r["doc_id"] for r in got.collect()) == [k for k in sorted(want) if want[k] == k] and want != groups(3, 90)
+
+
+@pytest.mark.parametrize("share, most", [(80, 0.7), (90, 0.3)])
+def test_similar_sets_share_one_of_few_signatures(share, most):
+    rng = np.random.default_rng(6)
+    draw = lambda n: rng.integers(0, 1 << 64, n, np.uint64)
+    sizes, sent, held = fsjoin.Sizes(share), 0, 0
+    for n in [*range(1, 60), 300, 1000] * 5:
+        s, k = draw(n), int(n * (100 - share) / (100 + share))
+        swapped = np.concatenate([s[k:], draw(k)])
+        shorter = s[n - -(-n * share // 100) :]
+        for t in (swapped, shorter):
+            assert 100 * len(np.intersect1d(s, t)) >= share * len(np.union1d(s, t))
+            for hot in (0.0, 0.05, 0.5, 1.0):
+                is_hot = lambda x: np.isin(x, s[: int(len(s) * hot)])  # noqa: B023, E731
+                a, b = (fsjoin.signatures(np.sort(x), is_hot(np.sort(x)), sizes) for x in (s, t))
+                assert len(np.intersect1d(a, b))
+        if n >= 300:
+            sent, held = sent + len(fsjoin.signatures(np.sort(s), np.zeros(n, bool), sizes)), held + n
+    assert sent < most * held

@@ -1,15 +1,16 @@
 """Word-shingle Jaccard self-join by vertical partitioning.
 
-A document is its set of distinct 3-word shingles (a shorter one the one shingle of all its words). Shingles have a
-global order, that of their 64-bit hashes, and the order is cut into fragments.
+A document is its set of distinct shingles of WORDS words, or as many as the caller says (a shorter one the one
+shingle of all its words). Shingles have a global order, that of their 64-bit hashes, and the order is cut into fragments.
 
 1. Documents with equal sets form a class (128-bit fingerprint of the set); one represents it.
 2. The order is that of the hashes, but shingles that occur in many documents (HOT or more; at most MOST_HOT of
    them, counted over all rows) come last, as a fragment of their own. Two sets of SHARE % similarity differ in at
-   most d shingles, d by the smaller's size. Cut into d + 2 fragments, they agree in two, so in one that isn't the
-   hot one. Each set sends a hash of every other fragment, for its own size class and the one below. A set that
-   leaves one of them empty sends those of another cut too, and after LEVELS cuts those of all its shingles in d + 1
-   fragments, the empty ones as well: two similar sets that agree in empty fragments only both do so, and meet.
+   most d shingles, d by the smaller's size, so in at most d fragments. If one of them holds shingles in d + 1 others
+   than the hot one, they agree in one that isn't empty; cuts have some fragments to spare for that. Each set sends a
+   hash of every fragment it holds shingles of, for its own size class and the one below. A set that holds shingles
+   in fewer sends those of another cut too, and after LEVELS cuts those of all its shingles, of the empty fragments as
+   well: two similar sets that both hold too few both do so, and meet.
 3. Groups of sets with an equal fragment are taken once each, though they share many. Every member is first paired
    with the group's first. Groups that are then still of several components are cut into blocks of BLOCK sets, and
    every pair of blocks is compared in one task, first by sketches: SKETCH bits, each the parity of the shingles
@@ -25,6 +26,7 @@ monotonically_increasing_id() over docs, which has to read the same way twice.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 
 import numpy as np
@@ -55,18 +57,23 @@ class Sizes:
             self._grow()
         return bisect_right(self.low, n) - 1
 
-    def fragments(self, k: int) -> int:
+    def fragments(self, k: int) -> tuple[int, int]:
+        """Fragments of a cut, and how many of them must hold shingles so that similar sets agree in one that does.
+
+        Those to spare are three times the empty ones expected.
+        """
         while len(self.low) < k + 2:
             self._grow()
         most = self.low[k + 1] - 1  # of the smaller set; the union is at most 100 / share of it
-        return most * (100 - self.share) // self.share + 1
+        least = most * (100 - self.share) // self.share + 1
+        return least + int(3 * least * math.exp(-self.low[k] / least) + 0.5), least
 
 
-def shingles(h: np.ndarray) -> np.ndarray:
-    """Distinct shingle hashes, sorted."""
-    if len(h) < WORDS:
+def shingles(h: np.ndarray, words: int) -> np.ndarray:
+    """Distinct hashes of shingles of so many words, sorted."""
+    if len(h) < words:
         return K.combine(*(h[k : k + 1] for k in range(len(h))))[:1] if len(h) else h
-    return np.unique(K.combine(h[:-2], h[1:-1], h[2:]))
+    return np.unique(K.combine(*(h[k : len(h) - words + 1 + k] for k in range(words))))
 
 
 def _cut(s: np.ndarray, f: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,12 +89,12 @@ def signatures(s: np.ndarray, hot: np.ndarray, sizes: Sizes) -> np.ndarray:
     cold = s[~hot]
     out = []
     for k in {own, max(own - 1, 0)}:
-        f = sizes.fragments(k)
+        f, least = sizes.fragments(k)
         for level in range(LEVELS):
             order = cold if level == 0 else np.sort(K.mix(cold + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
             sig, full = _cut(order, f, k << 32 | level << 28)
             out.append(sig[full])
-            if full.all():
+            if full.sum() >= least:
                 break
         else:
             out.append(_cut(s, f, k << 32 | LEVELS << 28)[0])
@@ -100,14 +107,14 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(bit, minlength=SKETCH).astype(np.uint8) & 1).view(np.int64)
 
 
-def _rows(batch: pa.RecordBatch):
+def _rows(batch: pa.RecordBatch, words: int):
     for _, _, data, off in K.chunks(batch.column("text")):
         w = K.words(data, off, K.SPACED_LOWER)
         for a, b in zip(w.off[:-1], w.off[1:], strict=True):
-            yield shingles(w.hash[a:b])
+            yield shingles(w.hash[a:b], words)
 
 
-def hot_shingles(docs: DataFrame) -> np.ndarray:
+def hot_shingles(docs: DataFrame, words: int) -> np.ndarray:
     """Shingles of HOT documents or more, as far as single tasks see them twice; the MOST_HOT most frequent."""
 
     def run(batches):
@@ -119,7 +126,7 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
 
         for batch in batches:
-            for s in _rows(batch):
+            for s in _rows(batch, words):
                 held.append(s)
                 size += len(s)
             if size > 1 << 20:
@@ -133,16 +140,16 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(frequent(counts, MOST_HOT).toArrow()["h"].to_numpy().view(np.uint64))
 
 
-def sets(docs: DataFrame, share: int) -> DataFrame:
+def sets(docs: DataFrame, share: int, words: int) -> DataFrame:
     """(row, doc_id, n, f1, f2, sketch, sigs) of docs (row, doc_id, text)."""
 
-    shared = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, words))
 
     def run(batches):
         sizes, hot = Sizes(share), K.HashIndex(shared.value)
         for batch in batches:
             n, f1, f2, bits, sigs = [], [], [], [], []
-            for s in _rows(batch):
+            for s in _rows(batch, words):
                 n.append(len(s))
                 f1.append(int(K.mix(s).sum(dtype=np.uint64).view(np.int64)))
                 f2.append(int(K.mix(s ^ np.uint64(0x0123456789ABCDEF)).sum(dtype=np.uint64).view(np.int64)))
@@ -155,7 +162,7 @@ def sets(docs: DataFrame, share: int) -> DataFrame:
     return docs.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, n long, f1 long, f2 long, sketch array<long>, sigs array<long>")
 
 
-def fragments(docs: DataFrame, rows: DataFrame, parts: int = PARTS) -> DataFrame:
+def fragments(docs: DataFrame, rows: DataFrame, words: int, parts: int = PARTS) -> DataFrame:
     """(row, part, items) of the documents whose row is in rows: the hashes of each fragment of the order."""
     spark = docs.sparkSession
     if rows.count() <= MOST_IDS:
@@ -169,7 +176,7 @@ def fragments(docs: DataFrame, rows: DataFrame, parts: int = PARTS) -> DataFrame
                 batch = batch.filter(pa.array(np.isin(batch.column("row").to_numpy(), wanted.value)))
             row, items = [], []
             cuts = np.arange(1, parts, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // parts)
-            for r, s in zip(batch.column("row").to_pylist(), _rows(batch), strict=True):
+            for r, s in zip(batch.column("row").to_pylist(), _rows(batch, words), strict=True):
                 row.append(r)
                 items += np.split(s.view(np.int64), np.searchsorted(s, cuts))
             cut = np.concatenate([[0], np.cumsum([len(x) for x in items])]).astype(np.int32)
@@ -178,16 +185,18 @@ def fragments(docs: DataFrame, rows: DataFrame, parts: int = PARTS) -> DataFrame
     return docs.select("row", "text").mapInArrow(run, "row long, part int, items array<long>")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, share: int) -> DataFrame:
+def linked(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, share: int, words: int) -> DataFrame:
     """Those of pairs (a, b) whose documents are similar enough."""
     rows = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    parts = scratch(fragments(docs, rows), "fragments")
+    parts = scratch(fragments(docs, rows, words), "fragments")
     left = pairs.join(parts.select(F.col("row").alias("a"), "part", F.col("items").alias("x")), "a")
     both = left.join(parts.select(F.col("row").alias("b"), "part", F.col("items").alias("y")), ["b", "part"])
     partial = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"))
     common = partial.groupBy("a", "b").agg(F.sum("common").alias("common"))
     n = lambda c: sizes.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"))
-    return common.join(n("a"), "a").join(n("b"), "b").filter(f"100 * common >= {share} * (n_a + n_b - common)").select("a", "b")
+    found = scratch(common.join(n("a"), "a").join(n("b"), "b").filter(f"100 * common >= {share} * (n_a + n_b - common)").select("a", "b"), "links")
+    discard(parts)
+    return found
 
 
 def _apart(groups: DataFrame, roots: DataFrame) -> DataFrame:
@@ -313,11 +322,11 @@ def block_links(close: DataFrame, items: DataFrame, share: int) -> DataFrame:
     return sent.groupBy("sig", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
+def near_duplicates(docs: DataFrame, share: int = SHARE, words: int = WORDS) -> DataFrame:
     """doc_id, row, n_shingles, class_id (smallest id with the same set), component_id and root (a row) of each row of docs (doc_id, text)."""
     prepare(docs.sparkSession)
     docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    every = scratch(sets(docs, share), "sets")
+    every = scratch(sets(docs, share, words), "sets")
     known = scratch(every.drop("sigs"), "known")
     key = ["f1", "f2", "n"]
     classes = scratch(known.filter("n > 0").groupBy(*key).agg(F.min("row").alias("rep"), F.min("doc_id").alias("class_id")), "classes")
@@ -336,12 +345,13 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     pairs = scratch(groups.filter("row > first").select(F.col("row").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
     roots = None
     if not pairs.isEmpty():
-        links = scratch(linked(pairs, docs, sizes, share), "links")
+        links = linked(pairs, docs, sizes, share, words)
         edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
         roots = scratch(components(edges), "roots")
         close = scratch(candidates(_apart(groups, roots), known.select("row", "n", "sketch"), share), "close")
         close = scratch(distinct_groups(close), "close")
-        items = fragments(docs, close.select("row").distinct(), 1).select("row", "items")
+        discard(groups)
+        items = fragments(docs, close.select("row").distinct(), words, 1).select("row", "items")
         more = scratch(block_links(close, items, share), "more")
         if not more.isEmpty():
             roots = scratch(components(edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))), "roots")
