@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zastera.functions import names
-from zastera.functions.detectors import BY_NAME, CVV, EXPIRY
+from zastera.functions.detectors import BY_NAME, CVV, DETECTORS, EXPIRY
 from zastera.operators import audit, people, redact
 
 # Sample texts with identifiers, an SQL expression over customer's key k that both engines read.
@@ -93,8 +93,13 @@ _PLAIN = redact.Config(types=("EMAIL", "IP"))
 _PAIR = [BY_NAME["email"], BY_NAME["ipv4"]]
 
 
-def _known(spark: SparkSession, sf: str) -> DataFrame:
-    return redact.labels(redact.pieces(_docs(spark, sf), _PLAIN, _PAIR))
+def _scope(every: bool) -> tuple:
+    """All detectors, or the two that SQL can follow."""
+    return (redact.Config(), DETECTORS) if every else (_PLAIN, _PAIR)
+
+
+def _known(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    return redact.labels(redact.pieces(_docs(spark, sf), *_scope(every)))
 
 
 def _known_sql() -> str:
@@ -106,20 +111,20 @@ known AS (SELECT doc_id, type, idx, '[[' || type || '_' || CAST(idx AS VARCHAR)
 """
 
 
-def label_map(spark: SparkSession, sf: str) -> DataFrame:
-    return _known(spark, sf)
+def label_map(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    return _known(spark, sf, every)
 
 
-def occurrences(spark: SparkSession, sf: str) -> DataFrame:
-    return _known(spark, sf).groupBy("type").agg(F.count("*").alias("entities"), F.sum("occurrences").cast("long").alias("occurrences"))
+def occurrences(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    return _known(spark, sf, every).groupBy("type").agg(F.count("*").alias("entities"), F.sum("occurrences").cast("long").alias("occurrences"))
 
 
-def map_txt_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return redact.map_lines(_known(spark, sf)).select("doc_id", "line")
+def map_txt_lines(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    return redact.map_lines(redact.shown(_known(spark, sf, every))).select("doc_id", "line")
 
 
-def map_json_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return redact.map_json(redact.shown(_known(spark, sf)))
+def map_json_rows(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    return redact.map_json(redact.shown(_known(spark, sf, every)))
 
 
 def redact_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,9 +135,9 @@ def redact_map(spark: SparkSession, sf: str) -> DataFrame:
     return redact.shown(redact.redact(_docs(spark, sf))[1])
 
 
-def deanonymize(spark: SparkSession, sf: str) -> DataFrame:
+def deanonymize(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
     docs = _docs(spark, sf)
-    clear, known = redact.redact(docs, _PLAIN, _PAIR)
+    clear, known = redact.redact(docs, *_scope(every))
     return redact.restore(clear, known)
 
 
@@ -151,30 +156,30 @@ def mask(pair: tuple[str, str], text: str, spark: SparkSession, sf: str) -> Data
 _MASKS = {"mask_cvv": (CVV, f"concat('CVV: ', {_pad(3)}, ' a cvc ', {_pad(3)})"), "mask_expiry": (EXPIRY, f"concat('exp: 0', CAST(c_custkey % 9 + 1 AS STRING), '/27')")}
 
 
-def entity_counts_by_lang(spark: SparkSession, sf: str) -> DataFrame:
-    return _known(spark, sf).join(_load(spark, sf, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang", "type").agg(F.sum("occurrences").cast("long").alias("n"))
+def entity_counts_by_lang(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    return _known(spark, sf, every).join(_load(spark, sf, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang", "type").agg(F.sum("occurrences").cast("long").alias("n"))
 
 
-def entities_by_label(spark: SparkSession, sf: str) -> DataFrame:
-    return _known(spark, sf).join(_load(spark, sf, "labels"), "doc_id").groupBy("quality", "type").agg(F.count("*").alias("n"))
+def entities_by_label(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    return _known(spark, sf, every).join(_load(spark, sf, "labels"), "doc_id").groupBy("quality", "type").agg(F.count("*").alias("n"))
 
 
-def docs_with_pii(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id").join(_known(spark, sf), "doc_id", "left_semi")
+def docs_with_pii(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    return _docs(spark, sf).select("doc_id").join(_known(spark, sf, every), "doc_id", "left_semi")
 
 
-def docs_without_pii(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id").join(_known(spark, sf), "doc_id", "left_anti")
+def docs_without_pii(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    return _docs(spark, sf).select("doc_id").join(_known(spark, sf, every), "doc_id", "left_anti")
 
 
-def tag_map_missing(spark: SparkSession, sf: str) -> DataFrame:
+def tag_map_missing(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
     """Tags without a map row, when the rows of type IP are taken away."""
-    clear, known = redact.redact(_docs(spark, sf), _PLAIN, _PAIR)
+    clear, known = redact.redact(_docs(spark, sf), *_scope(every))
     return audit.tags(clear).join(known.filter("type <> 'IP'"), ["doc_id", "label"], "left_anti").select("doc_id", "label", "n")
 
 
-def audit_hard_fails(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.plain(_docs(spark, sf), ("email", "ipv4", "card_bare")).groupBy("rule").agg(F.count("*").alias("n"))
+def audit_hard_fails(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    return audit.plain(_docs(spark, sf), audit.HARD_DETECTORS if every else ("email", "ipv4", "card_bare")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 def audit_score(spark: SparkSession, sf: str) -> DataFrame:
@@ -238,7 +243,10 @@ def person_backfill(spark: SparkSession, sf: str) -> DataFrame:
     return people.backfill(docs, people.link(people.persons(docs)))
 
 
+_BOTH = (label_map, occurrences, map_txt_lines, map_json_rows, deanonymize, entity_counts_by_lang, entities_by_label, docs_with_pii, docs_without_pii, tag_map_missing, audit_hard_fails)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **{f"{f.__name__}_all": partial(f, every=True) for f in _BOTH},
     **{f"extract_{n}": partial(extract_text, n) for n in TEXTS}, **{f"extract_{n}": partial(extract_sample, n) for n in SAMPLES if n not in TEXTS}, "extract_card_sample": partial(extract_sample, "card_bare"),
     **{f"extract_other_{n}": partial(extract_other, n) for n in TEXTS}, **{k: partial(mask, *v) for k, v in _MASKS.items()},
     **{f.__name__: f for f in (label_map, occurrences, map_txt_lines, map_json_rows, redact_documents, redact_map, deanonymize, paragraphs, redact_email, entity_counts_by_lang, entities_by_label, docs_with_pii, docs_without_pii, tag_map_missing, audit_hard_fails, audit_score, whitelist_filter, blacklist_force, precedence_resolve, normalize_key, surname_nominative, surname_variants, person_candidates, person_link, person_backfill)},
