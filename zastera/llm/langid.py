@@ -1,9 +1,9 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Characters are code points, lower-cased one by one; what is no letter is a space. Bigrams and trigrams are hashed
-into BUCKETS. Document frequencies are counted over all training rows; the weights are learned on a bounded sample
-(about PER_LANGUAGE rows of each language, SAMPLE in all, by lowest hash of the id) with follow-the-regularised-
-leader and an elastic net, and one row in five of the sample sets the temperature instead.
+into BUCKETS. Document frequencies are counted over all training rows; the weights are learned on a sample of each
+language (about PER_LANGUAGE rows, or all of fewer, by lowest hash of the row) with follow-the-regularised-leader and
+an elastic net, and one row in five of the sample sets the temperature instead.
 
 A null text, or one without a letter, is `und` with score 1. Without training rows every text is `und` with score
 0. Repeated rows are predicted each; null languages are never learned.
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from . import kernel as K
 from .common import prepare
 
-BUCKETS, SAMPLE, PER_LANGUAGE, TEXTS = 1 << 14, 8_000, 1_000, 64
+BUCKETS, PER_LANGUAGE, TEXTS = 1 << 14, 1_000, 64
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.01, 4
 _PLANE = 1 << 16
 
@@ -145,7 +145,7 @@ def train(docs: DataFrame) -> Language | None:
                 got += [(np.flatnonzero(r), r[r > 0]) for r in tf]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[0].astype(np.int32) for x in got], pa.list_(pa.int32())), pa.array([x[1].astype(np.int32) for x in got], pa.list_(pa.int32()))], ["place", "lang", "at", "tf"])
 
-    rows = picked.select(place.alias("place"), "text", "lang").mapInArrow(run, "place long, lang string, at array<int>, tf array<int>").orderBy("place", "lang").limit(SAMPLE).toArrow()
+    rows = picked.select(place.alias("place"), "text", "lang").mapInArrow(run, "place long, lang string, at array<int>, tf array<int>").orderBy("place", "lang").toArrow()
     y = np.array([names.index(x) for x in rows["lang"].to_pylist()], int)
     data = []
     for at, tf in zip(rows["at"], rows["tf"], strict=True):
