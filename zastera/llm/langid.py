@@ -25,13 +25,13 @@ from .common import prepare
 
 BUCKETS, PER_LANGUAGE, TEXTS = 1 << 14, 1_000, 64
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.01, 4
-_PLANE = 1 << 16
+_POINTS = 0x110000
 
 
 def _letters() -> np.ndarray:
     """Code point to lower-case letter, or a space."""
-    out = np.full(_PLANE, 32, np.uint32)
-    for c in range(_PLANE):
+    out = np.full(_POINTS, 32, np.uint32)
+    for c in range(_POINTS):
         if unicodedata.category(chr(c))[0] == "L":
             low = chr(c).lower()
             out[c] = ord(low) if len(low) == 1 else c
@@ -50,8 +50,7 @@ def ngrams(column: pa.Array):
         points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         at = lead[off]
-        small = np.minimum(points, _PLANE - 1)
-        c = np.where(points < _PLANE, table[small], points).astype(np.uint64)  # rare planes: taken as letters
+        c = table[points].astype(np.uint64)
         for a in range(i, j, TEXTS):
             b = min(j, a + TEXTS)
             lo, hi = at[a - i], at[b - i]
