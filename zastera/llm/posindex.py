@@ -1,15 +1,22 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is partitioned by document: for each run of texts, the positions of every benchmark term. A search takes
-the benchmark's windows (WINDOW consecutive words, or all words of a shorter item), starts from the postings of
-each window's rarest term in the corpus, and intersects the other terms' postings, shifted by their offsets, in
-order of rarity. That gives exact phrases; where at least NEAR of a window's terms stand within SLACK words of
-their places, it is a proximity match. Nothing is shuffled but the terms' counts and, with several blocks, the
-hits. The benchmark goes out in blocks of at most BLOCK words, one broadcast each; every block meets every row.
-
-Words are runs of digits, letters and characters beyond ASCII, A-Z lower-cased. Null and empty texts have no words
-and no hits; null and empty items no windows; an item whose id is null counts for hits but not among the items;
-items of the same id are one. Repeated rows are rows of their own.
+1. `index` stores the postings: for each document, its terms and the places of each, as a scratch table partitioned by
+   document. Up to MOST_TERMS different benchmark words, only those are stored; beyond, every word is.
+2. `windows` cuts the benchmark on the executors into windows (WINDOW consecutive words, or all words of a shorter
+   item), each once, with the items it stands in. They are searched in blocks of at most BLOCK words, one broadcast each;
+   every block meets every document's postings, and the texts are read once however many blocks there are.
+3. `search` takes each window's terms from the rarest one in the corpus on and intersects their lists of places,
+   shifted by the terms' offsets. What survives all terms is an exact phrase. A proximity match is a start at which
+   one of the window's rarest terms stands in place and at least NEAR of all terms stand within SLACK words of
+   theirs; as many rarest terms are tried as may be missing, and one more, so one changed word hides no window.
+   Starts of one window that lie SLACK words apart or less are one match, and none within SLACK of an exact one
+   counts. At most STEP candidates are held at a time.
+
+Words are runs of digits, letters and characters beyond ASCII, A-Z lower-cased; a word's identity is its 64-bit hash.
+Null and empty texts have no words and no hits; null and empty items no windows; an item whose id is null counts for
+hits but not among the items; items of the same id are one. Repeated rows are rows of their own; an empty benchmark
+hits nothing, no documents give no rows. Only doc_id and text of docs, and item_id and text of the benchmark, are
+read, whatever other columns are called. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -23,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import prepare, scratch
+from .common import discard, prepare, scratch
 
-WINDOW, BLOCK, SLACK, NEAR = 13, 1_000_000, 2, 0.8
+WINDOW, BLOCK, MOST_TERMS, SLACK, NEAR, STEP = 13, 1_000_000, 4_000_000, 2, 0.8, 1 << 18
+#: Places between two documents of a batch, more than any window reaches.
+APART = WINDOW + 2 * SLACK + 1
 
 
 class Windows(NamedTuple):
@@ -37,161 +46,277 @@ class Windows(NamedTuple):
     order: np.ndarray  # windows x WINDOW: offsets, rarest term first
     item_cut: np.ndarray  # window to places in items
     items: np.ndarray
-    names: list[str | None]  # of the items
+    names: list[str]  # of the items
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Windows]:
-    """The windows of benchmark (item_id, text), a block at a time."""
-    ids: list[str | None] = []
-    texts: list[str] = []
+def windows(benchmark: DataFrame) -> DataFrame:
+    """(w, items) of benchmark (item_id, text): each distinct window's hashes and the ids of its items."""
+
+    def run(batches):
+        for batch in batches:
+            ids, out, own = batch.column(0).to_pylist(), [], []
+            for i, _, data, off in K.chunks(batch.column(1)):
+                w = K.words(data, off, K.LETTERS_LOWER)
+                for k, (a, b) in enumerate(zip(w.off[:-1].tolist(), w.off[1:].tolist(), strict=True)):
+                    for s in range(a, max(a + 1, b - WINDOW + 1) if b > a else a):
+                        out.append(w.hash[s : min(b, s + WINDOW)].view(np.int64))
+                        own.append(ids[i + k])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64())), pa.array(own, pa.string())], ["w", "item"])
+
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(run, "w array<long>, item string")
+    return rows.groupBy("w").agg(F.collect_set("item").alias("items"))
+
+
+def blocks(found: DataFrame) -> Iterator[Windows]:
+    """A stored table of windows, BLOCK words at a time; as many items of one window as are named in it."""
+    rows: list[tuple[list[int], list[str]]] = []
     held = 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t")).toLocalIterator():
-        ids.append(r["i"])
-        texts.append(r["t"])
-        held += len(r["t"]) // 4
+    for r in found.toLocalIterator():
+        rows.append((r["w"], r["items"]))
+        held += len(r["w"]) + len(r["items"])
         if held >= BLOCK:
-            yield _block(ids, texts)
-            ids, texts, held = [], [], 0
-    if ids:
-        yield _block(ids, texts)
+            yield _block(rows)
+            rows, held = [], 0
+    if rows:
+        yield _block(rows)
 
 
-def _block(ids: list[str | None], texts: list[str]) -> Windows:
-    names = sorted({x for x in ids if x is not None}) + [None]
+def _block(rows: list[tuple[list[int], list[str]]]) -> Windows:
+    names = sorted({x for _, items in rows for x in items})
     place = {x: k for k, x in enumerate(names)}
-    rows: dict[bytes, tuple[np.ndarray, set[int]]] = {}
-    base = 0
-    for _, _, data, off in K.chunks(pa.array(texts)):
-        w = K.words(data, off, K.LETTERS_LOWER)
-        for k, (a, b) in enumerate(zip(w.off[:-1], w.off[1:], strict=True)):
-            h = w.hash[a:b]
-            for x in (h[i : i + WINDOW] for i in range(max(1, len(h) - WINDOW + 1)) if len(h)):
-                rows.setdefault(x.tobytes(), (x, set()))[1].add(place[ids[base + k]])
-        base += len(off) - 1
-    terms = np.unique(np.concatenate([x for x, _ in rows.values()])) if rows else np.zeros(0, np.uint64)
+    size = np.array([len(w) for w, _ in rows], np.int64)
+    flat = np.array([x for w, _ in rows for x in w], np.int64).view(np.uint64)
+    terms = np.unique(flat)
     window = np.full((len(rows), WINDOW), -1, np.int32)
-    for k, (x, _) in enumerate(rows.values()):
-        window[k, : len(x)] = np.searchsorted(terms, x)
-    size = (window >= 0).sum(1)
-    cut = np.concatenate([[0], np.cumsum([len(s) for _, s in rows.values()])]).astype(np.int64)
-    return Windows(terms, window, size, np.zeros(window.shape, np.int8), cut, np.array([i for _, s in rows.values() for i in sorted(s)], np.int32), names)
+    window[np.arange(WINDOW)[None, :] < size[:, None]] = np.searchsorted(terms, flat)
+    cut = np.concatenate([[0], np.cumsum([len(x) for _, x in rows])]).astype(np.int64)
+    return Windows(terms, window, size, np.zeros(window.shape, np.int8), cut, np.array([place[x] for _, items in rows for x in items], np.int32), names)
 
 
-def count_terms(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
-    """How often each term occurs in all texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+_POSTINGS = "row long, doc_id {kind}, n_words long, terms array<long>, n array<int>, places array<int>"
+
+
+def index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
+    """The postings of docs (row, doc_id, text): its terms (of the vocabulary, if given), how often each stands there, and where."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        known = None if shared.value is None else K.HashIndex(shared.value)
+        for batch in batches:
+            n_words, n_terms, terms, counts, n_places, places = [], [], [], [], [], []
+            for _, _, data, off in K.chunks(batch.column("text")):
+                w = K.words(data, off, K.LETTERS_LOWER)
+                at = np.arange(len(w.hash)) if known is None else np.flatnonzero(known.find(w.hash) >= 0)
+                at = at[np.lexsort((w.hash[at], w.doc[at]))]  # stable, so that places ascend
+                h, doc = w.hash[at], w.doc[at]
+                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(at) else at
+                size = len(off) - 1
+                n_words.append(np.diff(w.off))
+                n_terms.append(np.bincount(doc[first], minlength=size))
+                n_places.append(np.bincount(doc, minlength=size))
+                terms.append(h[first].view(np.int64))
+                counts.append(np.diff(np.append(first, len(at))).astype(np.int32))
+                places.append((at - w.off[doc]).astype(np.int32))
+            lists = lambda n, x, kind: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate(n))]).astype(np.int32)), pa.array(np.concatenate(x), kind)) if n else pa.array([], pa.list_(kind))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("doc_id"), pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), lists(n_terms, terms, pa.int64()), lists(n_terms, counts, pa.int32()), lists(n_places, places, pa.int32())],
+                ["row", "doc_id", "n_words", "terms", "n", "places"],
+            )
+
+    return docs.select("row", "doc_id", "text").mapInArrow(run, _POSTINGS.format(kind=docs.schema["doc_id"].dataType.simpleString()))
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of a list column."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    off = column.offsets.to_numpy()
+    return off - off[0] if len(off) else np.zeros(1, np.int32), column.flatten().to_numpy()
+
+
+def count_terms(postings: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """How often each of the sorted terms occurs in all texts."""
+    shared = postings.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
-        index, n = K.HashIndex(shared.value), np.zeros(len(shared.value), np.int64)
+        known, total = K.HashIndex(shared.value), np.zeros(len(shared.value), np.int64)
         for batch in batches:
-            for _, _, data, off in K.chunks(batch.column(0)):
-                at = index.find(K.words(data, off, K.LETTERS_LOWER).hash)
-                n += np.bincount(at[at >= 0], minlength=len(n))
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["k", "n"])
+            at, n = known.find(_numbers(batch.column(0))[1].view(np.uint64)), _numbers(batch.column(1))[1]
+            total += np.bincount(at[at >= 0], n[at >= 0], len(total)).astype(np.int64)
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "n"])
 
-    got = docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    got = postings.select("terms", "n").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(len(terms), np.int64)
     n[got["k"].to_numpy()] = got["n"].to_numpy()
     return n
 
 
-class Index:
-    """The positional index of one run of texts, for one block."""
+def _rarest_first(block: Windows, n: np.ndarray) -> np.ndarray:
+    often = np.where(block.window >= 0, n[block.window] if len(n) else 0, np.iinfo(np.int64).max)
+    return np.argsort(often, axis=1, kind="stable").astype(np.int8)
+
+
+def _needed(size: np.ndarray) -> np.ndarray:
+    """How many of a window's terms a proximity match has."""
+    return np.ceil(NEAR * size - 1e-9).astype(np.int64)
+
+
+class Searcher:
+    """Windows of one block in the postings of some documents."""
 
     def __init__(self, block: Windows):
-        self.block, self.vocabulary = block, K.HashIndex(block.terms)
-        rare = block.window[np.arange(len(block.window)), block.order[:, 0]] if len(block.window) else np.zeros(0, np.int32)
-        self.by_rarest = np.argsort(rare, kind="stable")
-        self.cut = np.searchsorted(rare[self.by_rarest], np.arange(len(block.terms) + 1))
-
-    def search(self, w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Start and window of every exact phrase and of every proximity match."""
-        b = self.block
-        term = self.vocabulary.find(w.hash)
-        posting = np.flatnonzero(term >= 0)
-        n = (self.cut[1:] - self.cut[:-1])[term[posting]]
-        posting, n = posting[n > 0], n[n > 0]
-        which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.cut[term[posting]], n)
-        win, at = self.by_rarest[which], np.repeat(posting, n)
-        start = at - b.order[win, 0]
-        low, high = w.off[w.doc[at]], w.off[w.doc[at] + 1]
-        whole = (start >= low) & (start + b.size[win] <= high)
-        s, v = start[whole], win[whole]
-        for k in range(1, WINDOW):
-            off = b.order[v, k]
-            fits = (k >= b.size[v]) | (term[np.minimum(s + off, len(term) - 1)] == b.window[v, off])
-            s, v = s[fits], v[fits]
-        count = np.ones(len(win), np.int64)
-        for k in range(1, WINDOW):
-            off = b.order[win, k]
-            want, there = b.window[win, off], np.zeros(len(win), bool)
-            for d in range(-SLACK, SLACK + 1):
-                p = start + off + d
-                there |= (p >= low) & (p < high) & (term[np.clip(p, 0, len(term) - 1)] == want) if len(term) else False
-            count += there & (k < b.size[win])
-        close = count >= NEAR * b.size[win]
-        exact = set(zip(s.tolist(), v.tolist(), strict=True))
-        near = [(x, y) for x, y in zip(start[close].tolist(), win[close].tolist(), strict=True) if (x, y) not in exact]
-        near_s, near_v = (np.array(x, np.int64) for x in (zip(*near, strict=True) if near else ([], [])))
-        return s, v, near_s, near_v
-
-
-_SPAN = "array<struct<start: long, stop: long>>"
-
-
-def search(docs: DataFrame, block: Windows) -> DataFrame:
-    """(row, doc_id, n_words, spans, items, n_near) of docs (row, doc_id, text): merged exact spans, ids of items."""
-    block = block._replace(order=_rarest_first(block, count_terms(docs, block.terms)))
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+        self.block, self.known = block, K.HashIndex(block.terms)
+        missing = block.size - _needed(block.size)
+        self.anchors = []  # for the k-th rarest term: windows by that term, and where each term's begin
+        for k in range(int(missing.max(initial=0)) + 1):
+            use = np.flatnonzero(missing >= k)
+            term = block.window[use, block.order[use, k]]
+            order = np.argsort(term, kind="stable")
+            self.anchors.append((use[order], np.searchsorted(term[order], np.arange(len(block.terms) + 1))))
+
+    def load(self, term: np.ndarray, place: np.ndarray, room: int) -> None:
+        """Postings: term (-1: none of the block's) and place, all below room."""
+        keep = term >= 0
+        self.room = room
+        self.keys = np.sort(term[keep].astype(np.int64) * room + place[keep])
+
+    def _candidates(self, k: int):
+        """(window, start) of the places of the windows' k-th rarest terms, at most STEP at a time."""
+        windows, cut = self.anchors[k]
+        term, place = self.keys // self.room, self.keys % self.room
+        n = cut[term + 1] - cut[term]
+        some = np.flatnonzero(n)
+        term, place, end = term[some], place[some], np.cumsum(n[some])
+        for a in range(0, int(end[-1]) if len(end) else 0, STEP):
+            flat = np.arange(a, min(a + STEP, int(end[-1])))
+            at = np.searchsorted(end, flat, "right")
+            v = windows[cut[term[at] + 1] - (end[at] - flat)]
+            yield v, place[at] - self.block.order[v, k]
+
+    def _there(self, v: np.ndarray, s: np.ndarray, k: int, slack: int) -> np.ndarray:
+        """Whether the k-th rarest term of window v stands within slack words of its place; True beyond the window's terms."""
+        off = self.block.order[v, k]
+        base = self.block.window[v, off].astype(np.int64) * self.room + s + off
+        at = np.searchsorted(self.keys, base - slack)
+        return (k >= self.block.size[v]) | (self.keys[np.minimum(at, len(self.keys) - 1)] <= base + slack) & (at < len(self.keys))
+
+    def exact(self) -> tuple[np.ndarray, np.ndarray]:
+        """Window and start of every exact phrase."""
+        found = []
+        for v, s in self._candidates(0):
+            for k in range(1, WINDOW):
+                fits = self._there(v, s, k, 0)
+                v, s = v[fits], s[fits]
+            found.append((v, s))
+        return _joined(found)
+
+    def near(self, v0: np.ndarray, s0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Window and start of every proximity match; v0, s0: the exact ones."""
+        found, allowed = [], self.block.size - _needed(self.block.size)
+        for anchor in range(len(self.anchors)):
+            for v, s in self._candidates(anchor):
+                lost = np.zeros(len(v), np.int64)
+                for k in range(WINDOW):
+                    lost += ~self._there(v, s, k, SLACK)
+                    fits = lost <= allowed[v]
+                    v, s, lost = v[fits], s[fits], lost[fits]
+                found.append((v, s))
+        v, s = _joined(found)
+        # Windows lie more than SLACK starts apart, so that none meets another's.
+        room = self.room + 2 * APART
+        key = np.unique(v.astype(np.int64) * room + s + APART)
+        exact = np.sort(v0.astype(np.int64) * room + s0 + APART)
+        key = key[np.searchsorted(exact, key - SLACK) == np.searchsorted(exact, key + SLACK, "right")]
+        key = key[np.concatenate([[True], np.diff(key) > SLACK])[: len(key)]]
+        return key // room, key % room - APART
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return (np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])) if parts else (np.zeros(0, np.int64),) * 2
+
+
+_SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
+_NEAR = pa.struct([("item", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])
+_FOUND = "row long, doc_id {kind}, n_words long, spans array<struct<start: long, stop: long>>, items array<string>, near array<struct<item: string, start: long, stop: long>>"
+
+
+def search(postings: DataFrame, block: Windows) -> DataFrame:
+    """For each document of a stored index: merged spans of exact phrases, ids of their items, and proximity matches (item, start, stop)."""
+    block = block._replace(order=_rarest_first(block, count_terms(postings, block.terms)))
+    shared = postings.sparkSession.sparkContext.broadcast(block)
+
+    def some(batch: pa.RecordBatch, searcher: Searcher) -> pa.RecordBatch:
+        b, size = searcher.block, batch.num_rows
+        n_words = batch.column("n_words").to_numpy()
+        base = APART + np.concatenate([[0], np.cumsum(n_words + APART)]).astype(np.int64)
+        cut, terms = _numbers(batch.column("terms"))
+        _, n = _numbers(batch.column("n"))
+        own, places = _numbers(batch.column("places"))
+        doc = np.repeat(np.arange(size), np.diff(own))
+        searcher.load(np.repeat(searcher.known.find(terms.view(np.uint64)), n), places + base[doc], int(base[-1]) + APART)
+        spans, items, near = [[] for _ in range(size)], [set() for _ in range(size)], [set() for _ in range(size)]
+        if len(searcher.keys):
+            v, s = searcher.exact()
+            step = np.zeros(searcher.room + 1, np.int64)
+            np.add.at(step, s, 1)
+            np.add.at(step, s + b.size[v], -1)
+            inside = np.concatenate([[False], np.cumsum(step) > 0, [False]])
+            first, last = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+            for x, y, d in zip(first.tolist(), last.tolist(), (np.searchsorted(base, first, "right") - 1).tolist(), strict=True):
+                spans[d].append({"start": x - int(base[d]), "stop": y - int(base[d])})
+            pair = np.unique(np.stack([np.searchsorted(base, s, "right") - 1, v], 1), axis=0) if len(v) else np.zeros((0, 2), int)
+            for d, x in pair.tolist():
+                items[d].update(b.names[k] for k in b.items[b.item_cut[x] : b.item_cut[x + 1]])
+            v, s = searcher.near(v, s)
+            owner = np.searchsorted(base, s + WINDOW - 1, "right") - 1
+            for x, at, d in zip(v.tolist(), (s - base[owner]).tolist(), owner.tolist(), strict=True):
+                span = max(0, at), min(int(n_words[d]), at + int(b.size[x]))
+                near[d].update((b.names[k], *span) for k in b.items[b.item_cut[x] : b.item_cut[x + 1]])
+        named = [[{"item": x, "start": y, "stop": z} for x, y, z in sorted(own)] for own in near]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("row"), batch.column("doc_id"), batch.column("n_words"), pa.array(spans, pa.list_(_SPAN)), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(named, pa.list_(_NEAR))],
+            ["row", "doc_id", "n_words", "spans", "items", "near"],
+        )
 
     def run(batches):
-        index = Index(shared.value)
-        b = index.block
+        searcher = Searcher(shared.value)
         for batch in batches:
-            n_words, spans, items, nears = [], [], [], []
-            for i, j, data, off in K.chunks(batch.column("text")):
-                w = K.words(data, off, K.LETTERS_LOWER)
-                s, v, near_s, _ = index.search(w)
-                step = np.zeros(len(w.hash) + 1, np.int64)
-                np.add.at(step, s, 1)
-                np.add.at(step, s + b.size[v], -1)
-                first, last = K.runs(np.cumsum(step[:-1]) > 0, w.off)
-                doc = w.doc[first] if len(first) else first
-                own: dict[int, set[str]] = {}
-                for d, x in zip(w.doc[s].tolist() if len(s) else [], v.tolist(), strict=True):
-                    own.setdefault(d, set()).update(b.names[k] for k in b.items[b.item_cut[x] : b.item_cut[x + 1]] if b.names[k] is not None)
-                by = np.searchsorted(doc, np.arange(j - i + 1))
-                n_words += np.diff(w.off).tolist()
-                base = w.off[:-1].tolist()
-                spans += [[{"start": int(x) - base[d], "stop": int(y) - base[d]} for x, y in zip(first[by[d] : by[d + 1]], last[by[d] : by[d + 1]], strict=True)] for d in range(j - i)]
-                items += [sorted(own.get(d, ())) for d in range(j - i)]
-                near_by = np.bincount(w.doc[np.clip(near_s, 0, None)] if len(near_s) else np.zeros(0, np.int64), minlength=j - i)
-                nears += near_by.tolist()
-            span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string())), pa.array(nears, pa.int64())], ["row", "doc_id", "n_words", "spans", "items", "n_near"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, n_words long, spans {_SPAN}, items array<string>, n_near long")
+            held = batch.column("places").offsets.to_numpy()
+            a = 0
+            while a < batch.num_rows:  # a longer text is a step of its own
+                b = max(a + 1, int(np.searchsorted(held, held[a] + (1 << 20), "right")) - 1)
+                yield some(batch.slice(a, b - a), searcher)
+                a = b
 
+    return postings.mapInArrow(run, _FOUND.format(kind=postings.schema["doc_id"].dataType.simpleString()))
 
-def _rarest_first(block: Windows, n: np.ndarray) -> np.ndarray:
-    often = np.where(block.window >= 0, n[block.window] if len(n) else 0, np.iinfo(np.int64).max)
-    return np.argsort(often, axis=1, kind="stable").astype(np.int8)
+
+def vocabulary(found: DataFrame) -> np.ndarray | None:
+    """The benchmark's different words, if they are MOST_TERMS at most."""
+    words = found.select(F.explode("w").alias("h")).distinct().limit(MOST_TERMS + 1).toArrow()["h"].to_numpy()
+    return np.sort(words.view(np.uint64)) if len(words) <= MOST_TERMS else None
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs (doc_id, text): row, doc_id, n_words, n_hit, items, contaminated, spans, n_near."""
+    """docs (doc_id, text): row, doc_id, n_words, n_hit, items, contaminated, spans, near."""
     prepare(docs.sparkSession)
     docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    parts = [search(docs, b) for b in blocks(benchmark)] or [search(docs, _block([], []))]
-    found = parts[0]
-    if len(parts) > 1:
-        found = scratch(found, "block")
-        for x in parts[1:]:
-            found = found.unionByName(scratch(x, "block"))
+    cut = scratch(windows(benchmark), "windows")
+    postings = scratch(index(docs, vocabulary(cut)), "postings")
+    found = None
+    for block in blocks(cut):
+        part = scratch(search(postings, block), "found")
+        found = part if found is None else found.unionByName(part)
+        several = found is not part
+    if found is None:
+        found, several = search(postings, _block([])), False
+    else:
+        discard(postings)
+    if several:
+        every = lambda c: F.flatten(F.collect_list(c))
         found = found.groupBy("row").agg(
-            F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sum("n_near").alias("n_near")
+            F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(every("spans")).alias("spans"), F.array_sort(F.array_distinct(every("items"))).alias("items"), F.array_sort(F.array_distinct(every("near"))).alias("near")
         )
     # Words of the sorted spans, none counted twice.
     hit = F.aggregate(
@@ -210,8 +335,26 @@ size AS (SELECT DISTINCT n FROM win),
 grams AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM dw, size, unnest(range(1, greatest(len(w) - n + 2, 1))) t(i)),
 occ AS (SELECT doc_id, i, n, item_id FROM grams JOIN win USING (n, g)),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM occ) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS list FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM occ WHERE item_id IS NOT NULL) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS list FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM occ WHERE item_id IS NOT NULL) GROUP BY doc_id),
+post AS (SELECT doc_id, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS pos FROM dw),
+often AS (SELECT term, count(*) AS c FROM post GROUP BY term),
+v AS (SELECT n, g, unnest(string_split(g, ' ')) AS term, unnest(range(0, n)) AS o FROM (SELECT DISTINCT n, g FROM win)),
+ranked AS (SELECT v.*, row_number() OVER (PARTITION BY g ORDER BY coalesce(c, 0), o) AS rare FROM v LEFT JOIN often USING (term)),
+cand AS (SELECT DISTINCT n, g, doc_id, pos - o AS s FROM ranked JOIN post USING (term) WHERE rare <= 1 + n - CAST(ceil(0.8 * n - 1e-9) AS INT)),
+close AS (
+  SELECT n, g, doc_id, s FROM (SELECT DISTINCT c.n, c.g, c.doc_id, c.s, v.o FROM cand c JOIN v ON v.g = c.g JOIN post p ON p.doc_id = c.doc_id AND p.term = v.term AND abs(p.pos - c.s - v.o) <= 2)
+  GROUP BY ALL HAVING count(*) >= ceil(0.8 * n - 1e-9)
+), apart AS (
+  SELECT * FROM close c WHERE NOT EXISTS (SELECT 1 FROM grams e WHERE e.doc_id = c.doc_id AND e.g = c.g AND e.n = c.n AND abs(e.i - c.s) <= 2)
+), heads AS (
+  SELECT *, lag(s) OVER (PARTITION BY doc_id, g ORDER BY s) AS before FROM apart
+), near AS (
+  SELECT doc_id, count(*) AS n_near FROM (
+    SELECT DISTINCT h.doc_id, item_id, greatest(h.s, 1), least(len(dw.w) + 1, h.s + h.n) FROM heads h JOIN win USING (n, g) JOIN dw ON dw.doc_id = h.doc_id
+    WHERE item_id IS NOT NULL AND (before IS NULL OR s - before > 2)
+  ) GROUP BY doc_id
+)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
-FROM dw d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM dw d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """
