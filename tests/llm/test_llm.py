@@ -37,19 +37,6 @@ def test_hmm(spark, docs):
     assert sorted(round(r["base_score"], 6) for r in got) == sorted(round(base(t), 6) for _, t in ROWS)
 
 
-def test_hmm_pieces_are_exact():
-    rng = np.random.default_rng(1)
-    p = lambda *s: (lambda x: x / x.sum(-1, keepdims=True))(rng.random(s))
-    m = hmm.Model(np.zeros(0, np.uint64), np.zeros(0), 0, 0, p(hmm.STATES), p(hmm.STATES), p(hmm.STATES, hmm.STATES), p(hmm.STATES, 300).T.copy())
-    sym = rng.integers(0, 300, 3 * hmm.PIECE + 5).astype(np.int32)
-    a, total = m.start * m.emit[sym[0]], 0.0
-    for x in sym[1:]:
-        a = a @ m.move * m.emit[x]
-        total += math.log(a.sum())
-        a /= a.sum()
-    assert abs(hmm.log_likelihood(sym, np.array([0, len(sym)]), m)[0] - total) < 2
-
-
 def test_line_dedup(spark):
     rows = [(1, "a\nb\nc\nd"), (2, "x\na\nb\n\n c \ny"), (3, "one\ntwo"), (4, "one\ntwo"), (5, None), (6, ""), (7, "a\nb\nz")]
     got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()

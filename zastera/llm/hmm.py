@@ -3,14 +3,21 @@
 Words are the runs between ASCII white space, A-Z lower-cased, and every text ends with one end token. The
 SYMBOLS most frequent tokens are symbols of their own; any other word is emitted as one of CLASSES classes (by its
 last two bytes) and then drawn from that class by its smoothed corpus count, so the model is a proper
-distribution over texts. Every count is over all training rows. The bounded start sample only breaks the symmetry
-of the states; the parameters that score are those of EM rounds over the whole training corpus.
+distribution over texts.
 
-What goes to the driver and back to the workers is bounded by TOP, SYMBOLS, CLASSES and STATES. Counts of rarer
-words stay in a table that is joined by hash. A word's identity is its 64-bit hash.
+Every count is over all training rows, none of which is sampled or cut. The states start from the corpus's counts,
+each symbol leaning at random (but the same in every run) towards one of them, and from moves that seldom leave a state;
+each of ROUNDS rounds is then one pass of forward-backward over all texts. A text longer than PIECE tokens is worked
+on in pieces, whose transfer matrices carry the recursions over the cuts, so that the expected counts are those of
+the whole text.
 
-Null and empty texts are the end token alone. Repeated rows are scored each. With no training rows every count is
-0, base_score is -inf-free by its own smoothing (N = V = 0), and the model is uniform.
+What goes to the driver and back to the workers is bounded by TOP, SYMBOLS, CLASSES and STATES. Counts of rarer words
+stay in a table that is joined by hash. A word's identity is its 64-bit hash.
+
+Null and empty texts are the end token alone. Repeated rows are trained on and scored each; null ids are ids like
+others. With no training rows every count is 0, base_score is that of N = V = 0 (log10 1 = 0 a token), and the model is
+uniform over the classes. No rows to score give no rows. Only doc_id, text and held_out are read, whatever other
+columns are called.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from . import kernel as K
 from .common import prepare, scratch
 
 STATES, SYMBOLS, TOP, CLASSES = 8, 65_536, 262_144, 256
-ROUNDS, START_ROWS, START_ROUNDS, WINDOW, PIECE = 2, 400, 12, 256, 4096
+ROUNDS, PIECE, STEP, LEAN, STAY = 3, 4096, 1 << 18, 0.4, 0.99
 END = np.uint64(0xE0D0C0B0A0908071)
 
 
@@ -38,7 +45,6 @@ class Model(NamedTuple):
     n: int
     v: int
     start: np.ndarray  # of a text
-    middle: np.ndarray  # of a training window inside a text
     move: np.ndarray
     emit: np.ndarray  # symbols and classes x states
 
@@ -124,78 +130,155 @@ def _pieces(off: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return doc, off[doc] + k * most, np.minimum(most, size[doc] - k * most), k == 0
 
 
-def expected(sym: np.ndarray, off: np.ndarray, m: Model, into: dict, batch: int = 1024) -> None:
-    """Adds the expected counts of a forward-backward pass over windows of at most WINDOW tokens to `into`."""
-    _, start, size, first = _pieces(off, WINDOW)
-    for at in range(0, len(start), batch):
-        order = np.argsort(-size[at : at + batch], kind="stable") + at
-        s, n, f = start[order], size[order], first[order]
-        steps, rows = int(n[0]), len(n)
-        alive = rows - np.searchsorted(n[::-1], np.arange(steps), "right")
-        alpha = np.zeros((steps, rows, STATES))
-        emits = np.zeros((steps, rows, STATES))
-        scale = np.ones((steps, rows, 1))
-        a = np.where(f[:, None], m.start, m.middle)
-        for t in range(steps):
-            k = alive[t]
-            e = emits[t, :k] = m.emit[sym[s[:k] + t]]
-            a = (a[:k] @ m.move if t else a) * e
-            c = scale[t, :k] = a.sum(1, keepdims=True)
-            a /= c
-            alpha[t, :k] = a
-            into["log"] += float(np.log(c).sum())
-        gamma = np.zeros((steps, rows, STATES))
-        b = np.ones((alive[-1], STATES))
-        for t in range(steps - 1, -1, -1):
-            k = alive[t]
-            if k > len(b):
-                b = np.concatenate([b, np.ones((k - len(b), STATES))])
-            gamma[t, :k] = alpha[t, :k] * b
-            if t:
-                eb = emits[t, :k] * b / scale[t, :k]
-                into["move"] += m.move * (alpha[t - 1, :k].T @ eb)
-                b = eb @ m.move.T
-        into["start"] += gamma[0][f].sum(0)
-        into["middle"] += gamma[0][~f].sum(0)
-        there = np.arange(rows)[None, :] < alive[:, None]
-        ids, g = sym[(s[None, :] + np.arange(steps)[:, None])[there]], gamma[there]
-        for k in range(STATES):
-            into["emit"][:, k] += np.bincount(ids, g[:, k], len(m.emit))
+def _ends(sym: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each piece its first row, and rows of (shares of the states after its last token, log of their sum).
+
+    A text's first piece has one row, from the start; a later one has a row from each state before it.
+    """
+    row = np.repeat(np.arange(len(start)), np.where(first, 1, STATES))
+    state = np.arange(len(row)) - np.searchsorted(row, row)
+    a = np.where(first[row][:, None], m.start, m.move[state])
+    order = np.argsort(-size[row], kind="stable")
+    n, s, a = size[row][order], start[row][order], a[order]
+    logs = np.zeros(len(row))
+    alive = len(n) - np.searchsorted(n[::-1], np.arange(n[0] if len(n) else 0), "right")
+    for t, k in enumerate(alive):
+        head = a[:k]
+        head[...] = (head @ m.move if t else head) * m.emit[sym[s[:k] + t]]
+        if t % 8 == 7:
+            c = head.sum(1)
+            head /= c[:, None]
+            logs[:k] += np.log(c)
+    if len(row):
+        c = a.sum(1)
+        a /= c[:, None]
+        logs += np.log(c)
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return np.searchsorted(row, np.arange(len(start))), a[back], logs[back]
+
+
+def _through(v: np.ndarray, a: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, float]:
+    """Shares of the states after a piece, given those before it, and the log of the piece's probability."""
+    w = (v * np.exp(logs - logs.max())) @ a
+    return w / w.sum(), float(logs.max() + np.log(w.sum()))
+
+
+def _borders(sym: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece, the shares of the states before it (of a later piece) and the weights of the states at its end."""
+    before, after = np.zeros((len(doc), STATES)), np.ones((len(doc), STATES))
+    cut = np.flatnonzero(np.isin(doc, doc[~first]))
+    if len(cut):
+        at, a, logs = _ends(sym, start[cut], size[cut], first[cut], m)
+        v = b = m.start
+        for k, p in enumerate(cut.tolist()):
+            if first[p]:
+                v = a[at[k]]
+                continue
+            before[p] = v
+            v = _through(v, a[at[k] : at[k] + STATES], logs[at[k] : at[k] + STATES])[0]
+        for k, p in zip(range(len(cut) - 1, -1, -1), cut[::-1].tolist(), strict=True):
+            if p + 1 < len(doc) and doc[p + 1] == doc[p]:
+                after[p] = b
+            if not first[p]:
+                own = logs[at[k] : at[k] + STATES]
+                b = np.exp(own - own.max()) * (a[at[k] : at[k] + STATES] @ after[p])
+                b = b / b.max()
+    return before, after
+
+
+def expected(sym: np.ndarray, off: np.ndarray, m: Model, into: dict) -> None:
+    """Adds the expected counts of a forward-backward pass over whole texts to `into`, STEP tokens in memory at a time."""
+    doc, start, size, first = _pieces(off, PIECE)
+    before, after = _borders(sym, doc, start, size, first, m)
+    held = np.cumsum(size)
+    at = 0
+    while at < len(size):
+        stop = max(at + 1, int(np.searchsorted(held, (held[at - 1] if at else 0) + STEP, "right")))
+        _forward_backward(sym, start[at:stop], size[at:stop], first[at:stop], before[at:stop], after[at:stop], m, into)
+        at = stop
+
+
+def _forward_backward(sym, start, size, first, before, after, m: Model, into: dict) -> None:
+    order = np.argsort(-size, kind="stable")
+    s, n, f, before, b_end = start[order], size[order], first[order], before[order], after[order]
+    alive = len(n) - np.searchsorted(n[::-1], np.arange(int(n[0])), "right")
+    base = np.concatenate([[0], np.cumsum(alive)])
+    t_of = np.repeat(np.arange(len(alive)), alive)
+    ids = sym[s[np.arange(base[-1]) - base[t_of]] + t_of]  # all first tokens, all second ones, and so on
+    emits = m.emit[ids]
+    alpha, scale = np.empty_like(emits), np.empty((len(ids), 1))
+    a = np.where(f[:, None], m.start, before @ m.move)
+    for t, k in enumerate(alive.tolist()):
+        here = slice(base[t], base[t] + k)
+        a = (a[:k] @ m.move if t else a) * emits[here]
+        c = a.sum(1, keepdims=True)
+        a /= c
+        alpha[here], scale[here] = a, c
+    into["log"] += float(np.log(scale).sum())
+    emits /= scale
+    move = np.zeros((STATES, STATES))
+    b = np.zeros((0, STATES))
+    for t in range(len(alive) - 1, -1, -1):
+        k = int(alive[t])
+        here = slice(base[t], base[t] + k)
+        if k > len(b):  # pieces that end here
+            ends = b_end[len(b) : k]
+            ends = ends / (alpha[base[t] + len(b) : base[t] + k] * ends).sum(1, keepdims=True)
+            b = np.concatenate([b, ends])
+        eb = emits[here] * b
+        alpha[here] *= b
+        move += alpha[base[t - 1] : base[t - 1] + k].T @ eb if t else before.T @ eb
+        b = eb @ m.move.T
+    into["move"] += m.move * move
+    into["start"] += alpha[: len(n)][f].sum(0)
+    for k in range(STATES):
+        into["emit"][:, k] += np.bincount(ids, alpha[:, k], len(m.emit))
 
 
 def _empty(m: Model) -> dict:
-    return {"start": np.zeros(STATES), "middle": np.zeros(STATES), "move": np.zeros((STATES, STATES)), "emit": np.zeros(m.emit.shape), "log": 0.0}
+    return {"start": np.zeros(STATES), "move": np.zeros((STATES, STATES)), "emit": np.zeros(m.emit.shape), "log": 0.0}
 
 
 def maximised(m: Model, got: dict, base: np.ndarray) -> Model:
     """base: each symbol's share of the corpus, towards which a state's emissions are smoothed."""
     emit = got["emit"] + 500.0 * base[:, None]
-    move = got["move"] + 1.0
-    return m._replace(
-        start=(got["start"] + 0.1) / (got["start"] + 0.1).sum(), middle=(got["middle"] + 0.1) / (got["middle"] + 0.1).sum(),
-        move=move / move.sum(1, keepdims=True), emit=emit / emit.sum(0),
-    )
+    move, start = got["move"] + 1.0, got["start"] + 0.1
+    return m._replace(start=start / start.sum(), move=move / move.sum(1, keepdims=True), emit=emit / emit.sum(0))
 
 
-def _e_step(texts: DataFrame, shared, symbols: int, kinds: int) -> list:
-    """Sums of the expected counts of all partitions: rows (k, s0 ...), at most symbols + classes + a few."""
+def e_step(texts: DataFrame, shared, symbols: int) -> dict:
+    """The expected counts of all texts: each task adds up its own and sends at most symbols + classes + a few rows."""
+    at = symbols + CLASSES
 
     def run(batches):
         m = shared.value
         read, into = Reader(m.hashes, symbols), _empty(m)
         for batch in batches:
+            held: list[tuple] = []
+            n = 0
             for _, _, h, kind, off in _tokens(batch.column(0)):
-                expected(read(h, kind)[1], off, m, into)
-        rows = np.concatenate([into["emit"], into["move"], into["start"][None], into["middle"][None]])
-        ids = np.flatnonzero(rows.sum(1) > 0)
+                held.append((read(h, kind)[1], np.diff(off)))
+                n += len(h)
+                if n >= STEP:
+                    expected(*_together(held), m, into)
+                    held, n = [], 0
+            if held:
+                expected(*_together(held), m, into)
+        log = np.full((1, STATES), into["log"] / STATES)
+        rows = np.concatenate([into["emit"], into["move"], into["start"][None], log])
+        ids = np.flatnonzero((rows != 0).any(1))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *(pa.array(rows[ids, k].astype(np.float32)) for k in range(STATES))], ["k", *(f"s{k}" for k in range(STATES))])
 
     schema = "k int, " + ", ".join(f"s{k} float" for k in range(STATES))
-    sums = texts.select("text").mapInArrow(run, schema).groupBy("k").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES)))
-    rows = sums.toArrow()
-    out = np.zeros((symbols + kinds + STATES + 2, STATES))
+    rows = texts.select("text").mapInArrow(run, schema).groupBy("k").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES))).toArrow()
+    out = np.zeros((at + STATES + 2, STATES))
     out[rows["k"].to_numpy()] = np.stack([rows[f"s{k}"].to_numpy() for k in range(STATES)], 1)
-    return out
+    return {"emit": out[:at], "move": out[at : at + STATES], "start": out[at + STATES], "log": out[at + STATES + 1].sum()}
+
+
+def _together(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([x for x, _ in held]), np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in held]))])
 
 
 def train(texts: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
@@ -220,26 +303,15 @@ def train(texts: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     by_kind = {r["kind"]: r["n"] for r in rest.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     base = np.concatenate([amount[:symbols].astype(float), [float(by_kind.get(k, 0)) for k in range(CLASSES)]]) + 0.5
     base /= base.sum()
-    noise = np.random.Generator(np.random.PCG64(7))
-    emit = base[:, None] * np.exp(noise.normal(0, 0.5, (len(base), STATES)))
-    flat = np.full(STATES, 1 / STATES)
-    move = np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES)
-    m = Model(hashes, amount, int(totals["n"]), int(totals["v"]), flat, flat, move, emit / emit.sum(0))
-    ids = texts.filter(F.length("text").between(1, 20_000)).select("doc_id").dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_ROWS)
-    sample = texts.filter(F.length("text").between(1, 20_000)).join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").toArrow()["text"]
-    read, parts = Reader(hashes, symbols), []
-    for _, _, h, kind, off in _tokens(sample):
-        parts.append((read(h, kind)[1], off))
-    for _ in range(START_ROUNDS if parts else 0):
-        got = _empty(m)
-        for sym, off in parts:
-            expected(sym, off, m, got)
-        m = maximised(m, got, base)
-    for _ in range(rounds if totals["n"] else 0):
+    lean = np.random.Generator(np.random.PCG64(7)).integers(0, STATES, len(base))
+    emit = base[:, None] * np.where(lean[:, None] == np.arange(STATES), LEAN, (1 - LEAN) / (STATES - 1))
+    move = np.full((STATES, STATES), (1 - STAY) / STATES) + STAY * np.eye(STATES)
+    m = Model(hashes, amount, int(totals["n"]), int(totals["v"]), np.full(STATES, 1 / STATES), move, emit / emit.sum(0))
+    if not totals["n"]:
+        return m, counts
+    for _ in range(rounds):
         shared = spark.sparkContext.broadcast(m)
-        rows = _e_step(texts, shared, symbols, CLASSES)
-        at = symbols + CLASSES
-        m = maximised(m, {"emit": rows[:at], "move": rows[at : at + STATES], "start": rows[at + STATES], "middle": rows[at + STATES + 1]}, base)
+        m = maximised(m, e_step(texts, shared, symbols), base)
         shared.unpersist()
     return m, counts
 
@@ -251,40 +323,16 @@ def log_likelihood(sym: np.ndarray, off: np.ndarray, m: Model) -> np.ndarray:
     multiplied, which gives the same sum over all state paths.
     """
     doc, start, size, first = _pieces(off, PIECE)
-    row = np.repeat(np.arange(len(doc)), np.where(first, 1, STATES))
-    state = np.arange(len(row)) - np.searchsorted(row, row)
-    a = np.where(first[row][:, None], m.start, m.move[state])
-    order = np.argsort(-size[row], kind="stable")
-    n, s, a = size[row][order], start[row][order], a[order]
-    logs = np.zeros(len(row))
-    alive = len(n) - np.searchsorted(n[::-1], np.arange(n[0] if len(n) else 0), "right")
-    for t, k in enumerate(alive):
-        head = a[:k]
-        head[...] = (head @ m.move if t else head) * m.emit[sym[s[:k] + t]]
-        if t % 8 == 7:
-            c = head.sum(1)
-            head /= c[:, None]
-            logs[:k] += np.log(c)
-    if len(row):
-        c = a.sum(1)
-        a /= c[:, None]
-        logs += np.log(c)
-    back = np.empty_like(order)
-    back[order] = np.arange(len(order))
-    a, logs = a[back], logs[back]
+    at, a, logs = _ends(sym, start, size, first, m)
     out = np.zeros(len(off) - 1)
-    out[doc[first]] = logs[np.flatnonzero(first[row])]
-    at = np.searchsorted(row, np.arange(len(doc)))
+    out[doc[first]] = logs[at[first]]
     v: np.ndarray = m.start
     for p in np.flatnonzero(np.isin(doc, doc[~first])):
         if first[p]:
             v = a[at[p]]
             continue
-        each = logs[at[p] : at[p] + STATES]
-        w = v * np.exp(each - each.max())
-        v = w @ a[at[p] : at[p] + STATES]
-        out[doc[p]] += each.max() + np.log(v.sum())
-        v = v / v.sum()
+        v, more = _through(v, a[at[p] : at[p] + STATES], logs[at[p] : at[p] + STATES])
+        out[doc[p]] += more
     return out
 
 
