@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -58,6 +61,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def add_columns(docs: DataFrame, new: list[T.StructField], work: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """docs with the new columns that work makes of a batch of texts; columns of the same names give way, others stay as they are, whatever they are called."""
+    names = [f.name for f in new]
+    kept = [c for c in docs.columns if c not in names]
+    packed = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in kept if c != "text")).alias("others"))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.StructArray.from_arrays(work(b.column(0)), names)], ["text", "others", "new"])
+
+    rows = packed.mapInArrow(run, T.StructType([*packed.schema.fields, T.StructField("new", T.StructType(new))]))
+    return rows.select(*(F.col("text") if c == "text" else F.col(f"others.`{c}`") for c in kept), *(F.col(f"new.`{c}`") for c in names))
+
+
 #: Rows whose ids are broadcast at most; more are joined by shuffle.
 MOST_IDS = 4_000_000
 

@@ -5,9 +5,11 @@ feature is a lookup table over its bins, and for a pair of features a table over
 logistic of the sum of the looked-up values, added for whole batches.
 
 Features are shares and counts of a whole text (see FEATURES); labels, language, source and id are none of them.
-The model is fitted on at most SAMPLE labelled rows, those whose ids hash lowest; all rows are scored. A document
-labelled both 0 and 1 is not learned from. Null and empty texts have all features 0 and get a score too. With no
-labels, or one label only, the score is the constant share of label 1 (0.5 without labels).
+The model is fitted on at most SAMPLE labelled documents, those whose ids hash lowest; all rows are scored. A document
+labelled both 0 and 1, or without an id, is not learned from; of rows of one id, the least text is. Null and empty
+texts have all features 0 and get a score too; repeated rows are scored each, no rows give no rows. With no labels,
+or one label only, the score is the constant share of label 1 (0.5 without labels). A column of docs that has the
+score's name gives way to it; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel as K
-from .common import prepare
+from .common import add_columns, prepare
 
 SAMPLE, BINS, COARSE, ROUNDS, PAIR_ROUNDS, PAIRS, RATE = 20_000, 32, 8, 150, 60, 8, 0.1
 FEATURES = (
@@ -193,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, y int, " + ", ".join(f"f{j} double" for j in range(len(FEATURES)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "y", "text").mapInArrow(run, schema).toArrow().sort_by("doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).mapInArrow(run, schema).toArrow().sort_by("doc_id")
     x = np.stack([rows[f"f{j}"].to_numpy() for j in range(len(FEATURES))], 1)
     return fit(x, rows["y"].to_numpy().astype(float))
 
@@ -203,13 +205,4 @@ def score(docs: DataFrame, model: Gam, name: str = "score") -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
-    columns = docs.columns
-    at = columns.index("text")
-
-    def run(batches):
-        m = shared.value
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.score(features(b.column(at))))], [*columns, name])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return add_columns(docs, [T.StructField(name, T.DoubleType())], lambda texts: [pa.array(shared.value.score(features(texts)))])

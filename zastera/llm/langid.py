@@ -6,7 +6,8 @@ language (about PER_LANGUAGE rows, or all of fewer, by lowest hash of the row) w
 an elastic net, and one row in five of the sample sets the temperature instead.
 
 A null text, or one without a letter, is `und` with score 1. Without training rows every text is `und` with score
-0. Repeated rows are predicted each; null languages are never learned.
+0. Repeated rows are predicted each; null languages are never learned; no rows give no rows. Columns of docs named
+lang_pred or score give way to the prediction; other columns stay as they are. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel as K
-from .common import prepare
+from .common import add_columns, prepare
 
 BUCKETS, PER_LANGUAGE, TEXTS = 1 << 14, 1_000, 64
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.01, 4
@@ -166,25 +167,21 @@ def predict(docs: DataFrame, model: Language | None) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
-    columns = docs.columns
-    at = columns.index("text")
 
-    def run(batches):
+    def work(texts: pa.Array) -> list[pa.Array]:
         m = shared.value
         names = np.array([*(m.names if m else []), "und"], object)
-        for batch in batches:
-            pred, score = np.full(batch.num_rows, len(names) - 1), np.zeros(batch.num_rows)
-            for a, b, letter, doc, bucket in ngrams(batch.column(at)):
-                score[a:b] = 1.0
-                if m is None:
-                    score[a:b] = np.where(letter, 0.0, 1.0)
-                    continue
-                tf = np.bincount(doc * BUCKETS + bucket, minlength=(b - a) * BUCKETS).reshape(b - a, BUCKETS).astype(np.float32)
-                tf *= m.idf.astype(np.float32)
-                size = np.sqrt(np.einsum("ij,ij->i", tf, tf))
-                p = _softmax((tf @ m.weight / np.maximum(size, 1e-9)[:, None] + m.bias) / m.temperature)
-                pred[a:b] = np.where(letter, p.argmax(1), len(names) - 1)
-                score[a:b] = np.where(letter, p.max(1), 1.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[pred].tolist(), pa.string()), pa.array(score)], [*columns, "lang_pred", "score"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+        pred, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
+        for a, b, letter, doc, bucket in ngrams(texts):
+            if m is None:
+                score[a:b] = np.where(letter, 0.0, 1.0)
+                continue
+            tf = np.bincount(doc * BUCKETS + bucket, minlength=(b - a) * BUCKETS).reshape(b - a, BUCKETS).astype(np.float32)
+            tf *= m.idf.astype(np.float32)
+            size = np.sqrt(np.einsum("ij,ij->i", tf, tf))
+            p = _softmax((tf @ m.weight / np.maximum(size, 1e-9)[:, None] + m.bias) / m.temperature)
+            pred[a:b] = np.where(letter, p.argmax(1), len(names) - 1)
+            score[a:b] = np.where(letter, p.max(1), 1.0)
+        return [pa.array(names[pred].tolist(), pa.string()), pa.array(score)]
+
+    return add_columns(docs, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], work)

@@ -5,9 +5,13 @@ A text of one or two lines that are not blank is one window of its own. Equal wi
 table by a 128-bit hash (two seeds); the first by (doc_id, row, place) stays. The lines that any later one covers,
 merged, go.
 
+First places come from a map-side minimum. Places of a window meet it in a join by hash, but windows that hold more
+than a HOT-th of all places (so there are at most HOT of them) meet it in a broadcast: no task gets them all.
+
 Null texts stay null; empty tables give no rows; repeated rows are rows of their own, the later of which loses
-its lines; null ids come first. Rows are told apart by monotonically_increasing_id(), so docs has to be a table
-that reads the same way twice (files, not the result of a shuffle).
+its lines; null ids come first; texts are read whole, and columns other than doc_id and text only travel in doc,
+whatever they are called. Rows are told apart by monotonically_increasing_id(), so docs has to be a table that reads
+the same way twice (files, not the result of a shuffle).
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch
 
-WINDOW = 3
+WINDOW, HOT = 3, 1000
 BLANK = " \t\r\x0b\x0c"
 
 
@@ -49,8 +53,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
     found = scratch(windows(docs), "windows")
     place = F.struct("doc_id", "row", F.col("places")[0].alias("at"))
-    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = found.join(first, ["h1", "h2"]).filter(~((F.col("row") == F.col("first.row")) & (F.col("places")[0] == F.col("first.at"))))
+    first = scratch(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first")
+    most = found.count() // HOT
+    hot = F.broadcast(first.filter(F.col("n") > most).drop("n"))
+    cold = first.filter(F.col("n") <= most).drop("n")
+    met = found.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(cold, ["h1", "h2"]).unionByName(found.join(hot, ["h1", "h2"]))
+    later = met.filter(~((F.col("row") == F.col("first.row")) & (F.col("places")[0] == F.col("first.at"))))
     covered = later.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("covered"))
     lines = _lines(F.col("text"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered"))
