@@ -40,7 +40,7 @@ def test_document_frequencies(spark):
 def test_steps_are_those_of_ftrl(monkeypatch):
     """Weight by weight, with Python numbers."""
     monkeypatch.setattr(langid, "BUCKETS", 5)
-    monkeypatch.setattr(langid, "L1", 0.5)
+    monkeypatch.setattr(langid, "L1", 1.5)
     rng = np.random.default_rng(2)
     rows = [(np.append(np.sort(rng.choice(5, 3, replace=False)), 5), np.append(rng.random(3), 1.0)) for _ in range(12)]
     y = rng.integers(0, 3, 12)
