@@ -93,24 +93,38 @@ def test_jaccard(spark, docs):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == sorted(want)
 
 
-def test_overlaps_in_fragments():
-    rng = np.random.default_rng(2)
-    sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64) << np.uint64(58)) for _ in range(9)]
-    assert (fsjoin.overlaps(sets) == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]).all()
-
-
 def test_sketches_lose_no_pair():
     rng = np.random.default_rng(4)
     draw = lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
     base = [np.sort(draw(n)) for n in (5, 40, 300, 6000)]
     sets = [np.unique(np.concatenate([b[: len(b) - k], draw(k)])) for b in base for k in (0, len(b) // 40, len(b) // 20, len(b) // 3)]
-    group = np.repeat(np.arange(2), 8)
-    bits = np.stack([fsjoin.sketch(s) for s in sets])
-    got = fsjoin.may_link(group, np.arange(16), np.array([len(s) for s in sets]), bits, 90)
-    similar = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 90 * len(np.union1d(a, b))
-    want = np.array([any(similar(s, t) for j, t in enumerate(sets) if j != i and group[i] == group[j]) for i, s in enumerate(sets)])
-    assert want.sum() >= 8 and (got | ~want).all() and not got[11]
-    assert not fsjoin.may_link(group, np.zeros(16, int), np.array([len(s) for s in sets]), bits, 90).any()
+    every, n = np.arange(16), np.array([len(s) for s in sets])
+    bits = np.stack([fsjoin.sketch(s) for s in sets]).view(np.uint64)
+    a, b, differ = fsjoin.survivors(every, every, every, n, bits, 90)
+    got = set(zip(a.tolist(), b.tolist(), strict=True))
+    want = {(i, j) for i, s in enumerate(sets) for j, t in enumerate(sets) if i != j and 100 * len(np.intersect1d(s, t)) >= 90 * len(np.union1d(s, t))}
+    assert want <= got and len(want) >= 8 and not any(11 in x for x in got)
+    assert len(fsjoin.survivors(every, every, np.zeros(16, int), n, bits, 90)[0]) == 0
+    x, y, more = fsjoin.closest(a, b, differ, 1)
+    assert set(x.tolist()) == set(a.tolist()) and len(x) == len(set(x.tolist())) and more.any() == (len(a) > len(x))
+    assert all(differ[(a == i) & (b == j)][0] == differ[a == i].min() for i, j in zip(x, y, strict=True))
+    assert len(fsjoin.closest(a, b, differ, None)[0]) == len(a)
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_a_large_group_of_unlike_members_is_judged_whole(spark, monkeypatch, block):
+    """Texts that share a passage but differ; some are like one that isn't their group's first."""
+    monkeypatch.setattr(fsjoin, "BLOCK", block)
+    monkeypatch.setattr(fsjoin, "FIRST", (1, 2, None))
+    shared = [f"s{k}" for k in range(60)]
+    texts = [" ".join([*shared, *(f"o{k}x{j}" for j in range(12))]) for k in range(14)]
+    texts += [t.replace("s59 ", "") for t in texts[3:9]] + [t.replace("s0 ", "") for t in texts[5:12]] + [" ".join(shared)]
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    want = list(range(len(texts)))
+    for _ in texts:
+        want = [min(want[j] for j, b in enumerate(sets) if 100 * len(a & b) >= 90 * len(a | b)) for a in sets]
+    got = {r["doc_id"]: r["component_id"] for r in fsjoin.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(want)) and len(set(want)) > 5
 
 
 def test_blocks_find_what_the_first_members_miss(spark, monkeypatch):

@@ -13,10 +13,11 @@ shingle of all its words). Shingles have a global order, that of their 64-bit ha
    well: two similar sets that both hold too few both do so, and meet.
 3. Groups of sets with an equal fragment are taken once each, though they share many. Every member is first paired
    with the group's first. Groups that are then still of several components are cut into blocks of BLOCK sets, and
-   every pair of blocks is compared in one task, first by sketches: SKETCH bits, each the parity of the shingles
-   that hash to it, differ in no more bits than the sets in shingles. Only sets that may be similar to one of another
-   component send their shingles on, once for all pairs of blocks that keep the same sets, and a pair of blocks returns no more links than it has sets. So all pairs of
-   a group are judged, but none are written out.
+   every pair of blocks is compared in one task by sketches: SKETCH bits, each the parity of the shingles that hash to
+   it, differ in no more bits than the sets in shingles. A set names the closest of the sets of other components that
+   it may be similar to: in a round some FIRST of them, in a later one more, and in the last round all; rounds end
+   when no set had more to name. What a round links is one component in the next, and asks for nothing any more. So
+   all pairs of a group are judged, but none are written out that sketches or components rule out.
 4. A pair's overlap is counted in each of PARTS fragments separately and summed; the exact rule decides.
 5. Components of the links, and every copy back to its class.
 
@@ -39,7 +40,7 @@ from .common import MOST_IDS, discard, prepare, scratch
 from .components import components
 from .hmm import frequent
 
-WORDS, SHARE, PARTS, LEVELS, BLOCK, HOT, MOST_HOT, SKETCH = 3, 90, 4, 6, 128, 16, 2_000_000, 2048
+WORDS, SHARE, PARTS, LEVELS, BLOCK, HOT, MOST_HOT, SKETCH, FIRST = 3, 90, 4, 6, 2048, 16, 2_000_000, 2048, (4, 64, None)
 
 
 class Sizes:
@@ -209,54 +210,59 @@ def _apart(groups: DataFrame, roots: DataFrame) -> DataFrame:
     return member.join(split, "sig").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
 
 
-def overlaps(items: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of sorted sets, summed over PARTS fragments of the order."""
-    out = np.zeros((len(items), len(items)), np.int64)
-    cuts = np.arange(1, PARTS, dtype=np.uint64) * np.uint64((1 << 64) // PARTS)
-    bound = [np.concatenate([[0], np.searchsorted(x, cuts), [len(x)]]) for x in items]
-    for part in range(PARTS):
-        own = [x[b[part] : b[part + 1]] for x, b in zip(items, bound, strict=True)]
-        who = np.repeat(np.arange(len(own)), [len(x) for x in own])
-        _, col, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-        keep = n[col] > 1
-        who, col = who[keep], np.unique(col[keep], return_inverse=True)[1]
-        order = np.argsort(col, kind="stable")
-        who, col = who[order], col[order]
-        for first in range(0, int(col[-1]) + 1 if len(col) else 0, 8192):
-            a, b = np.searchsorted(col, [first, first + 8192])
-            m = np.zeros((len(items), 8192), np.float32)
-            m[who[a:b], col[a:b] - first] = 1
-            out += (m @ m.T).astype(np.int64)
-    return out
-
-
-def may_link(group: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray, share: int) -> np.ndarray:
-    """Whether a row of a sorted group may be similar to one of its group and another root, by sketches and sizes."""
-    out = np.zeros(len(group), bool)
-    at, step = np.arange(len(group)), 0
-    while len(at):
-        step += 1
-        at = at[at + step < len(group)]
-        at = at[group[at] == group[at + step]]
-        to = at + step
-        differ = np.bitwise_count((bits[at] ^ bits[to]).view(np.uint64)).sum(1, dtype=np.int64)
-        differ = np.maximum(differ, np.abs(n[at] - n[to]))
-        close = (differ * (100 + share) <= (n[at] + n[to]) * (100 - share)) & (root[at] != root[to])
-        out[at[close]] = True
-        out[to[close]] = True
-    return out
-
-
-def candidates(apart: DataFrame, sketches: DataFrame, share: int) -> DataFrame:
-    """(sig, i, j, row, root): members of pairs of blocks that may be similar to one of another component. sketches: (row, n, sketch)."""
+def survivors(x: np.ndarray, y: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a row of x and one of y of another root that may be similar by sizes and sketches, and in how many bits they differ."""
+    found = []
+    head = 8  # words of a sketch that settle most pairs
+    for k in range(0, len(x), 256):
+        own = x[k : k + 256]
+        most = (n[own][:, None] + n[y][None, :]) * (100 - share) // (100 + share)
+        may = (root[own][:, None] != root[y][None, :]) & (np.abs(n[own][:, None] - n[y][None, :]) <= most)
+        i, j = np.nonzero(may)
+        for at in range(0, len(i), 1 << 17):
+            a, b, top = own[i[at : at + (1 << 17)]], y[j[at : at + (1 << 17)]], most[i[at : at + (1 << 17)], j[at : at + (1 << 17)]]
+            differ = np.bitwise_count(bits[a, :head] ^ bits[b, :head]).sum(1, dtype=np.int64)
+            near = differ <= top
+            a, b, top, differ = a[near], b[near], top[near], differ[near]
+            differ += np.bitwise_count(bits[a, head:] ^ bits[b, head:]).sum(1, dtype=np.int64)
+            near = differ <= top
+            found.append((a[near], b[near], differ[near]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3  # type: ignore[return-value]
+
+
+def closest(a: np.ndarray, b: np.ndarray, differ: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `most` closest b of each a, and whether that a had more."""
+    order = np.lexsort((b, differ, a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else a
+    size = np.diff(np.append(first, len(a)))
+    nth = np.arange(len(a)) - np.repeat(first, size)
+    keep = nth < (len(a) if most is None else most)
+    return a[keep], b[keep], (np.repeat(size, size) > (len(a) if most is None else most))[keep]
+
+
+def candidates(apart: DataFrame, sketches: DataFrame, share: int, most: int | None) -> DataFrame:
+    """(a, b, more): pairs of rows of other components that may be similar, the `most` closest of each row in each pair of blocks. sketches: (row, n, sketch)."""
     sides = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))))
-    sent = apart.join(sketches, "row").select("sig", "row", "root", "n", "sketch", sides.alias("x")).select("sig", "x.i", "x.j", "row", "root", "n", "sketch")
+    sent = apart.join(sketches, "row").select("sig", "row", "root", "n", "sketch", "block", sides.alias("x")).select("sig", "x.i", "x.j", "block", "row", "root", "n", "sketch")
     key = ["sig", "i", "j"]
 
-    def judge(t: pa.Table, start: np.ndarray):
-        bits = t["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, SKETCH // 64)
-        keep = may_link(np.cumsum(start), t["root"].to_numpy(), t["n"].to_numpy(), bits, share)
-        yield from t.select([*key, "row", "root"]).filter(pa.array(keep)).combine_chunks().to_batches()
+    def judge(t: pa.Table):
+        row, root, n = (t[c].to_numpy() for c in ("row", "root", "n"))
+        bits = t["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH // 64)
+        first = t["block"].to_numpy() == t["i"][0].as_py()
+        if t["i"][0].as_py() == t["j"][0].as_py():
+            # The rows of the largest component needn't be compared among themselves.
+            roots, at, size = np.unique(root, return_inverse=True, return_counts=True)
+            x, y = np.flatnonzero(at != size.argmax()), np.arange(len(row))
+        else:
+            x, y = np.flatnonzero(first), np.flatnonzero(~first)
+        a, b, differ = survivors(x, y, root, n, bits, share)
+        a, b, differ = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([differ, differ])
+        a, b, more = closest(a, b, differ, most)
+        if len(a):
+            low, high = np.minimum(row[a], row[b]), np.maximum(row[a], row[b])
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(more)], ["a", "b", "more"])
 
     def run(batches):
         held = None  # the last group so far, at most two blocks
@@ -270,56 +276,15 @@ def candidates(apart: DataFrame, sketches: DataFrame, share: int) -> DataFrame:
             for c in key:
                 x = t[c].to_numpy()
                 start[1:] |= x[1:] != x[:-1]
-            last = int(np.flatnonzero(start)[-1])
-            if last:
-                yield from judge(t.slice(0, last), start[:last])
-            held = t.slice(last)
+            at = np.flatnonzero(start).tolist()
+            for u, v in zip(at, at[1:], strict=False):
+                yield from judge(t.slice(u, v - u))
+            held = t.slice(at[-1])
         if held is not None:
-            yield from judge(held, np.zeros(held.num_rows, bool))
-
-    return sent.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "sig long, i int, j int, row long, root long")
-
+            yield from judge(held)
 
-def distinct_groups(close: DataFrame) -> DataFrame:
-    """close without pairs of blocks whose members are the same as another's: long texts meet in very many."""
-    key = ["sig", "i", "j"]
-    marks = close.groupBy(*key).agg(F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("mark"), F.count("*").alias("size"))
-    once = marks.groupBy("mark", "size").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
-    return close.join(once, key, "left_semi")
-
-
-def block_links(close: DataFrame, items: DataFrame, share: int) -> DataFrame:
-    """Links (a, b) that join components, from pairs of blocks (sig, i, j, row, root). items: (row, items)."""
-    sent = close.join(items, "row")
-
-    def run(table: pa.Table) -> pa.Table:
-        rows, root = table["row"].to_numpy(), table["root"].to_numpy()
-        sets_ = [x.values.to_numpy().view(np.uint64) for x in table["items"]]
-        a: np.ndarray = np.zeros(0, np.int64)
-        b = a
-        if (root != root[0]).any():
-            common = overlaps(sets_)
-            n = np.array([len(x) for x in sets_])
-            close = (100 * common >= share * (n[:, None] + n[None, :] - common)) & (root[:, None] != root[None, :])
-            x, y = np.nonzero(np.triu(close))
-            head = {r: r for r in root.tolist()}
-
-            def find(r):
-                while head[r] != r:
-                    head[r] = head[head[r]]
-                    r = head[r]
-                return r
-
-            keep = []
-            for k, (u, v) in enumerate(zip(root[x].tolist(), root[y].tolist(), strict=True)):
-                u, v = find(u), find(v)
-                if u != v:
-                    head[u] = v
-                    keep.append(k)
-            a, b = rows[x[keep]], rows[y[keep]]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return sent.groupBy("sig", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    found = sent.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long, more boolean")
+    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def near_duplicates(docs: DataFrame, share: int = SHARE, words: int = WORDS) -> DataFrame:
@@ -348,13 +313,17 @@ def near_duplicates(docs: DataFrame, share: int = SHARE, words: int = WORDS) ->
         links = linked(pairs, docs, sizes, share, words)
         edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
         roots = scratch(components(edges), "roots")
-        close = scratch(candidates(_apart(groups, roots), known.select("row", "n", "sketch"), share), "close")
-        close = scratch(distinct_groups(close), "close")
+        for most in FIRST:
+            close = scratch(candidates(_apart(groups, roots), known.select("row", "n", "sketch"), share, most), "close")
+            if close.isEmpty():
+                break
+            more = linked(close.select("a", "b"), docs, sizes, share, words).select(F.col("a").alias("u"), F.col("b").alias("v"))
+            if not more.isEmpty():
+                edges = edges.unionByName(more)
+                roots = scratch(components(edges), "roots")
+            if close.filter("more").isEmpty():
+                break
         discard(groups)
-        items = fragments(docs, close.select("row").distinct(), words, 1).select("row", "items")
-        more = scratch(block_links(close, items, share), "more")
-        if not more.isEmpty():
-            roots = scratch(components(edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))), "roots")
     if roots is not None:
         classes = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         least = classes.groupBy("root").agg(F.min("class_id").alias("component_id"))
