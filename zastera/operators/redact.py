@@ -1,34 +1,242 @@
-"""Detection, numbering, rendering, map and restoring, as DataFrame operators.
+"""Detection, numbering, rendering, map and restoring: a document is worked on whole, in one narrow step.
 
-A paragraph is an array of segments (type, text); each detector splits the segments that have no type yet, so the
-list's order is precedence and no later detector sees the inside of a tag. Values are numbered per document and
-type by first place in the text. Null texts have no paragraphs and come back as null.
+One implementation finds everything: `Finder` joins the texts of a batch with line breaks, which no pattern crosses,
+and runs each detector once over all of them; a value is blotted out with stand-ins before the next detector, so the
+order of detectors is precedence and no one sees the inside of another's value. Known addresses and persons follow.
+Numbers are given per document and type by first place. Nothing is shuffled, and no text leaves its row: `redacted`
+has one row for each row of its input, with the text and the entities of that row.
+
+Rows are independent: rows of the same doc_id, or without one, are numbered each by itself. Null texts stay null and
+have no entities, empty texts stay empty. A tag that stood in a text is itself an entity (type TAG), so that restoring
+brings it back. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from zastera.functions.detectors import CVV, DETECTORS, EXPIRY, SECRET_TYPES, Detector
+from zastera.functions.detectors import CHECKS, DETECTORS, KEEP, MASKED, MASKS, OPTIONAL, SECRET_TYPES, Detector, rank
+from zastera.functions.names import Library
+
+from .people import People
 
-SEGMENT = "struct<type:string,text:string>"
+TAG = r"\[\[[A-ZÀ-Ž_]+_[0-9]+\]\]"
+_TAG = Detector("tag", "TAG", "", TAG, anchors=("[[",), confidence=1.0)
+#: Shorter addresses are not looked for again.
+LONG_ADDRESS = 15
 
 
 class Config(NamedTuple):
-    """What to look for and how to name it. whitelist: values left alone; blacklist: (type, value) always taken."""
+    """What to look for and how to name it.
+
+    types: these only (else all but OPTIONAL ones, and those of extra). whitelist: values left alone; blacklist: (type,
+    value) always taken. min_confidence: what is less sure stays and becomes a warning. longest: of overlapping finds
+    the longest wins, and then precedence; else precedence alone. surnames: surnames that stand alone behind pan or
+    paní, or before a verb, are persons too. keep_initials: `J. N.` stays.
+    """
 
     types: tuple[str, ...] | None = None
+    extra: tuple[str, ...] = ()
     whitelist: tuple[str, ...] = ()
     blacklist: tuple[tuple[str, str], ...] = ()
     rename: dict[str, str] = {}
     show_secrets: bool = False
+    min_confidence: float = 0.0
+    longest: bool = False
+    surnames: bool = False
+    keep_initials: bool = False
+
+    def wants(self, type_: str) -> bool:
+        return type_ == "TAG" or (type_ in self.types if self.types is not None else type_ not in OPTIONAL or type_ in self.extra)
+
+
+class Hit(NamedTuple):
+    start: int
+    stop: int
+    type: str
+    key: object  # hits of one type and key are one entity
+    original: str
+    confidence: float
+
+
+class Finder:
+    """The hits of texts, a batch at a time."""
+
+    def __init__(self, config: Config, detectors: Iterable[Detector], library: Library | None):
+        forced = [Detector(f"forced_{k}", t, "", re.escape(v), case=True, confidence=1.0) for k, (t, v) in enumerate(config.blacklist)]
+        wanted = [d if config.wants(d.type) else d._replace(type=KEEP) for d in [_TAG, *detectors] if config.wants(d.type) or d.type == KEEP or d.guard]
+        self.passes = [(d, d.compiled()) for d in [*forced, *wanted]]
+        self.masks = [(d, d.compiled()) for d in MASKS]
+        self.config, self.white = config, frozenset(config.whitelist)
+        self.people = People(library or Library(), config) if config.wants("PERSON") else None
+
+    def find(self, texts: list[str]) -> list[tuple[list[Hit], list[Hit], list[tuple[int, int, str]]]]:
+        """For each text its hits in order, what was found but not sure enough, and masks (start, stop, what is put there)."""
+        cuts = [0]
+        for t in texts:
+            cuts.append(cuts[-1] + len(t) + 1)
+        whole = "\n".join(texts)
+        free = whole  # with stand-ins for what is taken
+        low = whole.lower()
+        hits: list[list[Hit]] = [[] for _ in texts]
+        unsure: list[list[Hit]] = [[] for _ in texts]
+        masks: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+
+        def at(place: int) -> int:
+            return bisect_right(cuts, place) - 1
+
+        def take(spans: list[tuple[int, int]]) -> None:
+            nonlocal free
+            parts, end = [], 0
+            for a, b in spans:
+                parts += [free[end:a], "\ue000" * (b - a)]
+                end = b
+            free = "".join([*parts, free[end:]])
+
+        found = self._longest(whole, low) if self.config.longest else ((d, self._matches(d, p, free)) for d, p in self.passes if not d.anchors or any(a in low for a in d.anchors))
+        for d, spans in found:
+            taken = []
+            for a, b in spans:
+                value = whole[a:b]
+                doc = at(a)
+                if d.type == KEEP:
+                    taken.append((a, b))
+                elif value in self.white or not CHECKS[d.check](value):
+                    continue
+                elif d.confidence < self.config.min_confidence:
+                    unsure[doc].append(Hit(a - cuts[doc], b - cuts[doc], d.type, value.strip(), value.strip(), d.confidence))
+                else:
+                    taken.append((a, b))
+                    hits[doc].append(Hit(a - cuts[doc], b - cuts[doc], d.type, value.strip(), value.strip(), d.confidence))
+            if taken:
+                take(taken)
+        for doc, text in enumerate(texts):
+            forms = self._address_forms({h.original for h in hits[doc] if h.type == "ADDRESS" and len(h.original) > LONG_ADDRESS})
+            if forms:
+                hits[doc] = [h._replace(key=forms.get(h.original, h.original), original=forms.get(h.original, h.original)) if h.type == "ADDRESS" else h for h in hits[doc]]
+                a, b = cuts[doc], cuts[doc] + len(text)
+                pattern = "|".join(re.escape(x) for x in sorted(forms, key=lambda x: (-len(x), x)))
+                more = [Hit(m.start(), m.end(), "ADDRESS", forms[m[0]], forms[m[0]], 0.9) for m in re.finditer(pattern, free[a:b])]
+                hits[doc] += more
+                take([(a + h.start, a + h.stop) for h in more])
+        for d, pattern in self.masks:
+            if any(x in low for x in d.anchors):
+                for m in pattern.finditer(free):
+                    doc = at(m.start())
+                    masks[doc].append((m.start(2) - cuts[doc], m.end(2) - cuts[doc], MASKED[d.name]))
+        if self.people:
+            for doc, text in enumerate(texts):
+                own = self.people.find(free[cuts[doc] : cuts[doc] + len(text)])
+                for p in own:
+                    sure = p.confidence >= self.config.min_confidence and p.type == "PERSON" and p.surface not in self.white and p.original not in self.white
+                    if sure or p.type != "PERSON" and self.config.wants(p.type):
+                        hits[doc].append(Hit(p.start, p.stop, p.type, p.key, p.original, p.confidence))
+                    elif p.type == "PERSON":
+                        unsure[doc].append(Hit(p.start, p.stop, p.type, p.key, p.original, p.confidence))
+        first = lambda x: x[:2]
+        return [(sorted(h, key=first), sorted(u, key=first), sorted(m)) for h, u, m in zip(hits, unsure, masks, strict=True)]
+
+    @staticmethod
+    def _matches(d: Detector, pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
+        for m in pattern.finditer(text):
+            if m.start(2) < m.end(2):
+                yield m.span(2)
+
+    def _longest(self, text: str, low: str) -> Iterator[tuple[Detector, list[tuple[int, int]]]]:
+        """The detectors' finds without overlaps: the longest first, then by precedence of types, then by order."""
+        every = []
+        for k, (d, pattern) in enumerate(self.passes):
+            if not d.anchors or any(a in low for a in d.anchors):
+                every += [(a - b, 0 if d.type in ("TAG", KEEP) else 1 + rank(d.type), k, a, b) for a, b in self._matches(d, pattern, text) if CHECKS[d.check](text[a:b])]
+        taken: list[tuple[int, int]] = []  # sorted, without overlaps
+        kept: dict[int, list[tuple[int, int]]] = {}
+        for _, _, k, a, b in sorted(every):
+            i = bisect_right(taken, (a, b))
+            if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0]):
+                taken.insert(i, (a, b))
+                kept.setdefault(k, []).append((a, b))
+        for k in sorted(kept):
+            yield self.passes[k][0], sorted(kept[k])
+
+    @staticmethod
+    def _address_forms(known: set[str]) -> dict[str, str]:
+        """The addresses of a text, and those without their postcode, by what each stands for."""
+        short = {x: re.sub(r", [0-9]{3} ?[0-9]{2} ", ", ", x) for x in sorted(known)}
+        return {x: x for x in known} | {s: x for x, s in short.items() if s != x and len(s) > LONG_ADDRESS}
+
+
+_ENTITY = [("type", pa.string()), ("idx", pa.int64()), ("label", pa.string()), ("original", pa.string()), ("occurrences", pa.int64()), ("variants", pa.list_(pa.string())), ("confidence", pa.float64())]
+_WARNING = [("type", pa.string()), ("value", pa.string()), ("confidence", pa.float64())]
+_SCHEMA = "doc_id {kind}, text string, entities array<struct<type: string, idx: long, label: string, original: string, occurrences: long, variants: array<string>, confidence: double>>, warnings array<struct<type: string, value: string, confidence: double>>"
+
+
+def rendered(text: str, hits: list[Hit], masks: list[tuple[int, int, str]], rename: dict[str, str]) -> tuple[str, list[dict]]:
+    """The text with tags and masks, and its entities by type and number."""
+    entities: dict[tuple[str, object], dict] = {}
+    count: dict[str, int] = {}
+    put: list[tuple[int, int, str]] = list(masks)
+    for h in hits:
+        type_ = rename.get(h.type, h.type)
+        e = entities.get((type_, h.key))
+        if e is None:
+            n = count[type_] = count.get(type_, 0) + 1
+            e = entities[type_, h.key] = {"type": type_, "idx": n, "label": f"[[{type_}_{n}]]", "original": h.original, "occurrences": 0, "variants": set(), "confidence": h.confidence}
+        e["occurrences"] += 1
+        e["variants"].add(text[h.start : h.stop].strip())
+        e["confidence"] = max(e["confidence"], h.confidence)
+        put.append((h.start, h.stop, e["label"]))
+    parts, end = [], 0
+    for a, b, with_ in sorted(put):
+        if a >= end:
+            parts += [text[end:a], with_]
+            end = b
+    out = "".join([*parts, text[end:]]) if put else text
+    return out, sorted(({**e, "variants": sorted(e["variants"])} for e in entities.values()), key=lambda e: (e["type"], e["idx"]))
+
+
+def redacted(docs: DataFrame, config: Config = Config(), detectors: Iterable[Detector] = tuple(DETECTORS), names: tuple[list[str], list[str]] | None = None) -> DataFrame:
+    """(doc_id, text, entities, warnings) of every row of docs (doc_id, text). names: male and female first names, by default the short own list."""
+    detectors = tuple(detectors)
+
+    def run(batches):
+        finder = Finder(config, detectors, Library(*names) if names else None)
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            at = 0
+            while at < len(texts):  # at most a million characters at a time, or one text
+                stop, held = at, 0
+                while stop < len(texts) and (held < 1 << 20 or stop == at):
+                    held += len(texts[stop] or "")
+                    stop += 1
+                some = texts[at:stop]
+                out, entities, warnings = [], [], []
+                for text, (hits, unsure, masks) in zip(some, finder.find([t or "" for t in some]), strict=True):
+                    clear, own = rendered(text or "", hits, masks, config.rename)
+                    out.append(None if text is None else clear)
+                    entities.append(own)
+                    warnings.append([{"type": config.rename.get(h.type, h.type), "value": h.original, "confidence": h.confidence} for h in unsure])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, stop - at), pa.array(out, pa.string()), pa.array(entities, pa.list_(pa.struct(_ENTITY))), pa.array(warnings, pa.list_(pa.struct(_WARNING)))], ["doc_id", "text", "entities", "warnings"])
+                at = stop
+
+    return docs.select("doc_id", "text").mapInArrow(run, _SCHEMA.format(kind=docs.schema["doc_id"].dataType.simpleString()))
+
+
+def known(done: DataFrame) -> DataFrame:
+    """The replacement map of `redacted` rows: doc_id, type, idx, label, original, occurrences, variants, confidence."""
+    return done.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.*")
+
+
+def redact(docs: DataFrame, config: Config = Config(), detectors: Iterable[Detector] = tuple(DETECTORS), names: tuple[list[str], list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The redacted documents and the replacement map. Both come from `redacted`: store that first to work once."""
+    done = redacted(docs, config, detectors, names)
+    return done.select("doc_id", "text"), known(done)
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -36,155 +244,70 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("para_no", "text"))
 
 
-def _segment(type_: Column, text: Column) -> Column:
-    return F.struct(type_.alias("type"), text.alias("text"))
-
-
 def valid(d: Detector, value: Column) -> Column:
-    """What a pattern can't say: the check digit of bare card numbers."""
-    if d.name == "card_bare":
-        digits = F.regexp_replace(value, "[^0-9]", "")
-        return F.call_function("luhn_check", digits) & F.length(digits).between(13, 19)
+    """A detector's check, for a column of values."""
+    z = F.regexp_replace(value, "[^0-9]", "")
+    if d.check == "luhn":
+        return F.call_function("luhn_check", z) & F.length(z).between(13, 19)
+    if d.check == "birth":
+        return (F.length(z) == 9) | (z.cast("long") % 11 == 0)
+    if d.check == "phone":
+        return F.length(z).between(8, 15)
     return F.lit(True)
 
 
-def _split(text: Column, d: Detector, config: Config) -> Column:
-    none = F.lit(None).cast("string")
-    value = lambda x: x["2"]
-    pieces = F.arrays_zip(F.split(text, d.java, -1).alias("0"), F.regexp_extract_all(text, F.lit(d.java), F.lit(1)).alias("1"), F.regexp_extract_all(text, F.lit(d.java), F.lit(2)).alias("2"))
-    keep = lambda x: valid(d, value(x)) & (~value(x).isin(*config.whitelist) if config.whitelist else F.lit(True))
-    made = F.flatten(F.transform(pieces, lambda x: F.array(_segment(none, x["0"]), _segment(none, x["1"]), _segment(F.when(keep(x), F.lit(config.rename.get(d.type, d.type))), value(x)))))
-    return F.filter(made, lambda s: s["text"].isNotNull() & (s["text"] != ""))
-
+def shown(rows: DataFrame, config: Config = Config()) -> DataFrame:
+    """The map as it may be written: secrets as `***` and, for cards, the last four characters; their variants go."""
+    secret = F.col("type").isin(*SECRET_TYPES, *(config.rename[t] for t in SECRET_TYPES if t in config.rename)) & F.lit(not config.show_secrets)
+    card = F.col("type").isin("CARD", config.rename.get("CARD", "CARD"))
+    blot = F.when(card, F.concat(F.lit("***"), F.right("original", F.lit(4)))).otherwise(F.lit("***"))
+    rows = rows.withColumn("original", F.when(secret, blot).otherwise(F.col("original")))
+    return rows.withColumn("variants", F.when(secret, F.array().cast("array<string>")).otherwise(F.col("variants"))) if "variants" in rows.columns else rows
 
-def _pass(before: Column, d: Detector, config: Config) -> Column:
-    return F.flatten(F.transform(before, lambda s: F.when(s["type"].isNull() & s["text"].rlike(d.java), _split(s["text"], d, config)).otherwise(F.array(s))))
 
-
-#: Detectors that are still run as nested expressions.
-NATIVE = 6
-
-
-def _luhn(value: str) -> bool:
-    digits = [int(c) for c in value if c in "0123456789"]
-    return 13 <= len(digits) <= 19 and sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
-
-
-def _all_segments(detectors: list[Detector], config: Config):
-    """A function of a text column that splits by every detector in turn."""
-    steps = [(config.rename.get(t, t), re.escape(v), 0, False) for t, v in config.blacklist]
-    steps += [(config.rename.get(d.type, d.type), d.pattern, 0 if d.case else re.I, d.name == "card_bare") for d in detectors]
-    white, n_forced = frozenset(config.whitelist), len(config.blacklist)
-
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType())])))
-    def split(texts: pd.Series) -> pd.Series:
-        passes = [(t, re.compile(p if k >= n_forced else f"()({p})", flags), luhn) for k, (t, p, flags, luhn) in enumerate(steps)]
-
-        def one(text: str | None) -> list[dict]:
-            out: list[tuple[str | None, str]] = [(None, text or "")]
-            for type_, pattern, luhn in passes:
-                if not any(t is None and pattern.search(x) for t, x in out):
-                    continue
-                new: list[tuple[str | None, str]] = []
-                for t, x in out:
-                    if t is not None:
-                        new.append((t, x))
-                        continue
-                    at = 0
-                    for m in pattern.finditer(x):
-                        taken = m[2] not in white and (not luhn or _luhn(m[2]))
-                        new += [(None, x[at : m.start(2)]), (type_ if taken else None, m[2])]
-                        at = m.end()
-                    new.append((None, x[at:]))
-                out = [s for s in new if s[1]]
-            return [{"type": t, "text": x} for t, x in out]
-
-        return texts.map(one)
-
-    return split
-
-
-def segments(rows: DataFrame, config: Config = Config(), detectors: Iterable[Detector] = DETECTORS) -> DataFrame:
-    """rows with text replaced by s, array<struct<type, text>> whose texts joined are the text.
-
-    Up to NATIVE detectors are expressions. More are one Arrow function: nested that deep, the expressions take the
-    optimizer longer than the work itself.
-    """
-    detectors = [d for d in detectors if config.types is None or d.type in config.types]
-    if len(detectors) + len(config.blacklist) > NATIVE:
-        return rows.withColumn("s", _all_segments(detectors, config)("text")).drop("text")
-    out = rows.withColumn("s", F.array(_segment(F.lit(None).cast("string"), F.col("text")))).drop("text")
-    forced = [Detector(f"forced_{k}", t, "", "\\Q" + v + "\\E", True) for k, (t, v) in enumerate(config.blacklist)]
-    for d in [*forced, *detectors]:
-        out = out.withColumn("s", _pass(F.col("s"), d, config))
-    return out
-
-
-def masked(text: Column) -> Column:
-    """Card check values and expiry dates are blotted out without a tag."""
-    for pattern, with_ in (CVV, EXPIRY):
-        text = F.regexp_replace(text, "(?iuU)" + pattern, with_)
-    return text
-
-
-def pieces(docs: DataFrame, config: Config = Config(), detectors: Iterable[Detector] = DETECTORS) -> DataFrame:
-    """(doc_id, para_no, pos, type, text) of every segment."""
-    rows = segments(paragraphs(docs), config, detectors)
-    return rows.select("doc_id", "para_no", F.posexplode_outer("s").alias("pos", "x")).select("doc_id", "para_no", F.coalesce("pos", F.lit(0)).alias("pos"), "x.type", F.coalesce("x.text", F.lit("")).alias("text"))
-
-
-def labels(found: DataFrame) -> DataFrame:
-    """(doc_id, type, idx, label, original, occurrences) of pieces: numbers by first place."""
-    seen = found.filter("type IS NOT NULL").groupBy("doc_id", "type", F.trim("text").alias("original")).agg(F.min(F.struct("para_no", "pos")).alias("first"), F.count("*").alias("occurrences"))
-    idx = F.expr("CAST(row_number() OVER (PARTITION BY doc_id, type ORDER BY first) AS BIGINT)")
-    return seen.withColumn("idx", idx).select("doc_id", "type", "idx", F.concat(F.lit("[["), "type", F.lit("_"), F.col("idx").cast("string"), F.lit("]]")).alias("label"), "original", "occurrences")
-
-
-def render(found: DataFrame, known: DataFrame) -> DataFrame:
-    """(doc_id, text): the pieces with tags in place of values."""
-    tags = known.select("doc_id", "type", F.col("original").alias("key"), "label")
-    rows = found.withColumn("key", F.when(F.col("type").isNotNull(), F.trim("text"))).join(tags, ["doc_id", "type", "key"], "left")
-    line = rows.groupBy("doc_id", "para_no").agg(F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("type").isNull(), masked(F.col("text"))).otherwise(F.col("label")).alias("t")))).alias("x"))
-    line = line.select("doc_id", "para_no", F.array_join(F.transform("x", lambda x: x["t"]), "").alias("t"))
-    whole = line.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("para_no", "t"))).alias("x"))
-    return whole.select("doc_id", F.array_join(F.transform("x", lambda x: x["t"]), "\n").alias("text"))
-
-
-def redact(docs: DataFrame, config: Config = Config(), detectors: Iterable[Detector] = DETECTORS) -> tuple[DataFrame, DataFrame]:
-    """The redacted documents and the replacement map."""
-    found = pieces(docs, config, detectors)
-    known = labels(found)
-    text = docs.select("doc_id", F.col("text").isNull().alias("none")).join(render(found, known), "doc_id", "left")
-    return text.select("doc_id", F.when(~F.col("none"), F.col("text")).alias("text")), known
+def map_json(rows: DataFrame, generated_at: str | None = None, source_file: Column | None = None, notes: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, json): the entities of each document, ordered by type and number, with the header fields that are given."""
+    entity = F.struct("type", "idx", F.struct("type", "label", "original", "occurrences").alias("e"))
+    done = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(entity)).alias("x"))
+    head = [F.lit("1.0").alias("version")]
+    head += [F.lit(generated_at).alias("generated_at")] if generated_at else []
+    head += [source_file.alias("source_file")] if source_file is not None else []
+    tail = [F.array(*map(F.lit, notes)).alias("notes")] if notes else []
+    return done.select("doc_id", F.to_json(F.struct(*head, F.transform("x", lambda x: x["e"]).alias("entities"), *tail)).alias("json"))
 
 
-def shown(known: DataFrame, config: Config = Config()) -> DataFrame:
-    """The map as it may be written: secrets as `***` and, for cards, the last four characters."""
-    secret = F.col("type").isin(*SECRET_TYPES) & F.lit(not config.show_secrets)
-    blot = F.when(F.col("type") == "CARD", F.concat(F.lit("***"), F.right("original", F.lit(4)))).otherwise(F.lit("***"))
-    return known.withColumn("original", F.when(secret, blot).otherwise(F.col("original")))
+def map_lines(rows: DataFrame) -> DataFrame:
+    """(doc_id, type, idx, line): `TYPE → label : original (výskyty: n)`."""
+    return rows.select("doc_id", "type", "idx", F.concat("type", F.lit(" → "), "label", F.lit(" : "), "original", F.lit(" (výskyty: "), F.col("occurrences").cast("string"), F.lit(")")).alias("line"))
 
 
-def map_json(known: DataFrame) -> DataFrame:
-    """(doc_id, json): the entities of each document, ordered by type and number."""
-    entity = F.struct("type", "idx", F.struct("type", "label", "original", "occurrences").alias("e"))
-    rows = known.groupBy("doc_id").agg(F.sort_array(F.collect_list(entity)).alias("x"))
-    return rows.select("doc_id", F.to_json(F.struct(F.lit("1.0").alias("version"), F.transform("x", lambda x: x["e"]).alias("entities"))).alias("json"))
+def map_text(rows: DataFrame) -> DataFrame:
+    """(doc_id, text): the map for people to read: persons first, with their variants, then a section for each type by name."""
+    line = F.concat("label", F.lit(": "), "original", F.when((F.col("type") == "PERSON") & (F.size("variants") > 0), F.concat(F.lit(" ("), F.array_join("variants", ", "), F.lit(")"))).otherwise(F.lit("")), F.lit(", výskyty: "), F.col("occurrences").cast("string"))
+    section = F.when(F.col("type") == "PERSON", F.lit("OSOBY")).otherwise(F.col("type"))
+    per = rows.groupBy("doc_id", section.alias("section")).agg(F.sort_array(F.collect_list(F.struct("idx", line.alias("line")))).alias("x"))
+    block = F.concat_ws("\n", F.col("section"), F.repeat(F.lit("-"), F.length("section")), F.array_join(F.transform("x", lambda x: x["line"]), "\n"))
+    whole = per.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct((F.col("section") != "OSOBY").alias("k"), "section", block.alias("block")))).alias("x"))
+    return whole.select("doc_id", F.array_join(F.transform("x", lambda x: x["block"]), "\n\n").alias("text"))
 
 
-def map_lines(known: DataFrame) -> DataFrame:
-    """(doc_id, type, idx, line): `TYPE → label : original (výskyty: n)`."""
-    return known.select("doc_id", "type", "idx", F.concat("type", F.lit(" → "), "label", F.lit(" : "), "original", F.lit(" (výskyty: "), F.col("occurrences").cast("string"), F.lit(")")).alias("line"))
+def _restored(text: Column, labels: Column, originals: Column) -> Column:
+    """A text with the original in place of each label; both lists are those of its map."""
+    cut, tags = F.split(text, TAG, -1), F.regexp_extract_all(text, F.lit(TAG), F.lit(0))
+    back = F.map_from_arrays(labels, originals)
+    pieces = F.transform(cut, lambda x, i: F.concat(x, F.when(i < F.size(tags), F.coalesce(F.try_element_at(back, F.get(tags, i)), F.get(tags, i))).otherwise(F.lit(""))))
+    return F.when((F.size(labels) > 0) & (F.size(tags) > 0), F.array_join(pieces, "")).otherwise(text)
 
 
-TAG = r"\[\[[A-ZÀ-Ž_]+_\d+\]\]"
+def restored(done: DataFrame) -> DataFrame:
+    """(doc_id, text) of `redacted` rows with the originals back; null texts stay null."""
+    part = lambda c: F.transform("entities", lambda e: e[c])
+    return done.select("doc_id", _restored(F.col("text"), part("label"), part("original")).alias("text"))
 
 
-def restore(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(doc_id, text) with the originals back in place of their tags."""
-    cut = F.arrays_zip(F.split("text", TAG, -1).alias("0"), F.regexp_extract_all("text", F.lit(TAG), F.lit(0)).alias("1"))
-    rows = docs.select("doc_id", F.posexplode(cut).alias("pos", "x")).select("doc_id", "pos", F.col("x.0").alias("plain"), F.col("x.1").alias("label"))
-    rows = rows.join(known.select("doc_id", "label", "original"), ["doc_id", "label"], "left")
-    whole = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.concat("plain", F.coalesce("original", "label", F.lit(""))).alias("t")))).alias("x"))
-    return whole.select("doc_id", F.array_join(F.transform("x", lambda x: x["t"]), "").alias("text"))
+def restore(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc_id, text) with the originals of a stored map, whose doc_ids are different; documents without a row, or a text, stay as they are."""
+    per = rows.groupBy("doc_id").agg(F.collect_list("label").alias("labels"), F.collect_list("original").alias("originals"))
+    none = F.array().cast("array<string>")
+    return docs.select("doc_id", "text").join(per, "doc_id", "left").select("doc_id", _restored(F.col("text"), F.coalesce("labels", none), F.coalesce("originals", none)).alias("text"))
 
