@@ -133,9 +133,9 @@ DETECTORS = [
     Detector("genetic_id", "GENETIC_ID", LEFT, r"rs[0-9]{6,}\b", case=True, anchors=("rs",)),
     _key("imei|international mobile equipment identity", r"[0-9]{15}\b", "imei", "IMEI", rf"{W}*[:=-]?{W}*"),
     Detector("imei_trailing", "IMEI", LEFT, "[0-9]{15}", rf"{W}+(?:imei|mobil|telefon)", anchors=("imei", "mobil", "telefon"), confidence=0.95),
-    _key("vin|vehicle id|identifikační číslo vozidla", r"[A-HJ-NPR-Z0-9]{17}\b", "vin", "VIN", rf"{W}*[:=-]?{W}*"),
-    Detector("vin_trailing", "VIN", LEFT, "[A-HJ-NPR-Z0-9]{17}", rf"{W}+(?:vin|vozidl|auto|vehicle)", anchors=("vin", "vozidl", "auto", "vehicle"), confidence=0.95),
-    _shape("mac", "MAC", r"[0-9A-F]{2}(?::[0-9A-F]{2}){5}\b|[0-9A-F]{2}(?:-[0-9A-F]{2}){5}\b|[0-9A-F]{4}\.[0-9A-F]{4}\.[0-9A-F]{4}\b", "(?:^|[^0-9A-Za-z:.-])", confidence=0.9),
+    _key("vin|vehicle id|identifikační číslo vozidla", r"[A-HJ-NPR-Z0-9]{17}\b", "vin", "VIN", rf"{W}*[:=-]?{W}*", check="digit"),
+    Detector("vin_trailing", "VIN", LEFT, "[A-HJ-NPR-Z0-9]{17}", rf"{W}+(?:vin|vozidl|auto|vehicle)", check="digit", anchors=("vin", "vozidl", "auto", "vehicle"), confidence=0.95),
+    _shape("mac", "MAC", r"[0-9A-F]{2}(?::[0-9A-F]{2}){5}\b|[0-9A-F]{2}(?:-[0-9A-F]{2}){5}\b|[0-9A-F]{4}\.[0-9A-F]{4}\.[0-9A-F]{4}\b", "(?:^|[^0-9A-Za-z:.-])", check="digit", confidence=0.9),
     _key("ičo?|ico", r"[0-9]{8}\b", "ico_context", "ICO", MAYBE),
     _key("spz|rz|reg\\. ?značka|registrační značka", rf"[0-9][A-Z][A-Z0-9]{W}?[0-9]{{4}}\b|[A-Z]{{2,3}}{W}?[0-9]{{2}}[ -]?[0-9]{{2,3}}\b", "plate", "LICENSE_PLATE", rf"(?:{W}+vozidla)?{MAYBE}"),
     _key("číslo smlouvy|smlouva č\\.|smlouvy č\\.|smlouvě č\\.|contract no\\.?", "[A-Z0-9][A-Z0-9/_-]*[0-9]", "contract_id", "CONTRACT_ID", MAYBE),
@@ -156,7 +156,7 @@ DETECTORS = [
     _shape("phone_bare", "PHONE", _NINE, "(?:^|[^0-9A-Za-z_./+-])", confidence=0.6),
     _shape("ico", "ICO", r"[0-9]{8}\b", "(?:^|[^0-9A-Za-z_./-])", confidence=0.5),
     _shape("plate_bare", "LICENSE_PLATE", rf"[0-9][A-Z][A-Z0-9]{W}[0-9]{{4}}\b|[0-9][A-Z]{{2}}[0-9]{{4}}\b|[A-Z]{{2}}[0-9]{{5}}\b", case=True, confidence=0.6),
-    _shape("hex_token", "API_KEY", r"[0-9a-f]{40}\b", case=True),
+    _shape("hex_token", "API_KEY", r"[0-9a-f]{40}\b", case=True, check="digit"),
     Detector("organisation", "ORG", LEFT, rf"[{UP}][{UP}{LOW}0-9&.-]*(?:,? (?:&|a|[{UP}0-9][{UP}{LOW}0-9&.-]*)){{0,4}},? (?:spol\. s r\.{W}?o\.|s\.{W}?r\.{W}?o\.|a\.{W}?s\.|k\.{W}?s\.|v\.{W}?o\.{W}?s\.|o\.{W}?p\.{W}?s\.|z\.{W}?s\.|Ltd\.?|Inc\.?|GmbH|LLC|Corp\.?)", case=True, anchors=("o.", "s.", "ltd", "inc", "gmbh", "llc", "corp"), guard=True, confidence=0.95),
 ]
 
@@ -193,7 +193,15 @@ def phone(value: str) -> bool:
     return 8 <= len(digits(value)) <= 15
 
 
-CHECKS = {"": lambda value: True, "luhn": luhn, "birth": birth, "phone": phone}
+def digit(value: str) -> bool:
+    return bool(re.search("[0-9]", value))
+
+
+CHECKS = {"": lambda value: True, "luhn": luhn, "birth": birth, "phone": phone, "digit": digit}
+
+#: A line in which a detector finds something has one of these signs, or one of the words.
+SIGNS = re.compile(r"[0-9@:=_\[]")
+SIGN_WORDS = (".com/", "ssh-", "ecdsa-", "narozen", "uloženo", "rfid", "badge", "id karta", "r.o.", "r. o.", "a.s.", "a. s.", "k.s.", "k. s.", "o.s.", "o. s.", "p.s.", "p. s.", "z.s.", "z. s.", "ltd", "inc", "gmbh", "llc", "corp")
 
 
 def rank(type_: str) -> int:

@@ -1,8 +1,9 @@
 """Detection, numbering, rendering, map and restoring: a document is worked on whole, in one narrow step.
 
 One implementation finds everything: `Finder` joins the texts of a batch with line breaks, which no pattern crosses,
-and runs each detector once over all of them; a value is blotted out with stand-ins before the next detector, so the
-order of detectors is precedence and no one sees the inside of another's value. Known addresses and persons follow.
+and runs each detector once over all lines that hold any sign of a value; a value is blotted out with stand-ins before
+the next detector, so the order of detectors is precedence and no one sees the inside of another's value. Known
+addresses and persons follow, these in the whole texts.
 Numbers are given per document and type by first place. Nothing is shuffled, and no text leaves its row: `redacted`
 has one row for each row of its input, with the text and the entities of that row.
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zastera.functions.detectors import CHECKS, DETECTORS, KEEP, MASKED, MASKS, OPTIONAL, SECRET_TYPES, Detector, rank
+from zastera.functions.detectors import CHECKS, DETECTORS, KEEP, MASKED, MASKS, OPTIONAL, SECRET_TYPES, SIGN_WORDS, SIGNS, Detector, rank
 from zastera.functions.names import Library
 
 from .people import People
@@ -66,15 +67,27 @@ class Hit(NamedTuple):
     confidence: float
 
 
+def blotted(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text with stand-ins in some spans, which come in order."""
+    parts, end = [], 0
+    for a, b in spans:
+        parts += [text[end:a], "\ue000" * (b - a)]
+        end = b
+    return "".join([*parts, text[end:]])
+
+
 class Finder:
     """The hits of texts, a batch at a time."""
 
     def __init__(self, config: Config, detectors: Iterable[Detector], library: Library | None):
+        detectors = tuple(detectors)
         forced = [Detector(f"forced_{k}", t, "", re.escape(v), case=True, confidence=1.0) for k, (t, v) in enumerate(config.blacklist)]
         wanted = [d if config.wants(d.type) else d._replace(type=KEEP) for d in [_TAG, *detectors] if config.wants(d.type) or d.type == KEEP or d.guard]
         self.passes = [(d, d.compiled()) for d in [*forced, *wanted]]
         self.masks = [(d, d.compiled()) for d in MASKS]
         self.config, self.white = config, frozenset(config.whitelist)
+        # What is taken in any case, and detectors of others, may have no sign.
+        self.every_line = bool(forced) or any(d not in DETECTORS for d in detectors)
         self.people = People(library or Library(), config) if config.wants("PERSON") else None
 
     def find(self, texts: list[str]) -> list[tuple[list[Hit], list[Hit], list[tuple[int, int, str]]]]:
@@ -83,66 +96,85 @@ class Finder:
         for t in texts:
             cuts.append(cuts[-1] + len(t) + 1)
         whole = "\n".join(texts)
-        free = whole  # with stand-ins for what is taken
-        low = whole.lower()
+        lines, here, there = self._lines(whole)  # a place in lines is one in whole, moved by its line's difference
+        free = lines  # with stand-ins for what is taken
+        low = lines.lower()
         hits: list[list[Hit]] = [[] for _ in texts]
         unsure: list[list[Hit]] = [[] for _ in texts]
         masks: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+        taken_at: list[tuple[int, int]] = []  # of whole
 
-        def at(place: int) -> int:
-            return bisect_right(cuts, place) - 1
+        def place(a: int, b: int) -> tuple[int, int, int]:
+            """The text that a span of lines lies in, and its span there."""
+            k = bisect_right(here, a) - 1
+            move = there[k] - here[k]
+            doc = bisect_right(cuts, a + move) - 1
+            return doc, a + move - cuts[doc], b + move - cuts[doc]
 
-        def take(spans: list[tuple[int, int]]) -> None:
-            nonlocal free
-            parts, end = [], 0
-            for a, b in spans:
-                parts += [free[end:a], "\ue000" * (b - a)]
-                end = b
-            free = "".join([*parts, free[end:]])
-
-        found = self._longest(whole, low) if self.config.longest else ((d, self._matches(d, p, free)) for d, p in self.passes if not d.anchors or any(a in low for a in d.anchors))
+        found = self._longest(lines, low) if self.config.longest else ((d, self._matches(d, p, free)) for d, p in self.passes if not d.anchors or any(a in low for a in d.anchors))
         for d, spans in found:
             taken = []
             for a, b in spans:
-                value = whole[a:b]
-                doc = at(a)
+                value = lines[a:b]
                 if d.type == KEEP:
                     taken.append((a, b))
-                elif value in self.white or not CHECKS[d.check](value):
                     continue
-                elif d.confidence < self.config.min_confidence:
-                    unsure[doc].append(Hit(a - cuts[doc], b - cuts[doc], d.type, value.strip(), value.strip(), d.confidence))
+                if value in self.white or not CHECKS[d.check](value):
+                    continue
+                doc, start, stop = place(a, b)
+                hit = Hit(start, stop, d.type, value.strip(), value.strip(), d.confidence)
+                if d.confidence < self.config.min_confidence:
+                    unsure[doc].append(hit)
                 else:
                     taken.append((a, b))
-                    hits[doc].append(Hit(a - cuts[doc], b - cuts[doc], d.type, value.strip(), value.strip(), d.confidence))
+                    hits[doc].append(hit)
             if taken:
-                take(taken)
+                free = blotted(free, taken)
+                taken_at += taken
+        for d, pattern in self.masks:
+            if any(x in low for x in d.anchors):
+                for m in pattern.finditer(free):
+                    doc, start, stop = place(*m.span(2))
+                    masks[doc].append((start, stop, MASKED[d.name]))
+        blots: dict[int, list[tuple[int, int]]] = {}
+        for a, b in taken_at:
+            doc, start, stop = place(a, b)
+            blots.setdefault(doc, []).append((start, stop))
         for doc, text in enumerate(texts):
+            rest = blotted(text, sorted(blots[doc])) if doc in blots else text
             forms = self._address_forms({h.original for h in hits[doc] if h.type == "ADDRESS" and len(h.original) > LONG_ADDRESS})
             if forms:
                 hits[doc] = [h._replace(key=forms.get(h.original, h.original), original=forms.get(h.original, h.original)) if h.type == "ADDRESS" else h for h in hits[doc]]
-                a, b = cuts[doc], cuts[doc] + len(text)
                 pattern = "|".join(re.escape(x) for x in sorted(forms, key=lambda x: (-len(x), x)))
-                more = [Hit(m.start(), m.end(), "ADDRESS", forms[m[0]], forms[m[0]], 0.9) for m in re.finditer(pattern, free[a:b])]
+                more = [Hit(m.start(), m.end(), "ADDRESS", forms[m[0]], forms[m[0]], 0.9) for m in re.finditer(pattern, rest)]
                 hits[doc] += more
-                take([(a + h.start, a + h.stop) for h in more])
-        for d, pattern in self.masks:
-            if any(x in low for x in d.anchors):
-                for m in pattern.finditer(free):
-                    doc = at(m.start())
-                    masks[doc].append((m.start(2) - cuts[doc], m.end(2) - cuts[doc], MASKED[d.name]))
-        if self.people:
-            for doc, text in enumerate(texts):
-                own = self.people.find(free[cuts[doc] : cuts[doc] + len(text)])
-                for p in own:
-                    sure = p.confidence >= self.config.min_confidence and p.type == "PERSON" and p.surface not in self.white and p.original not in self.white
-                    if sure or p.type != "PERSON" and self.config.wants(p.type):
-                        hits[doc].append(Hit(p.start, p.stop, p.type, p.key, p.original, p.confidence))
-                    elif p.type == "PERSON":
-                        unsure[doc].append(Hit(p.start, p.stop, p.type, p.key, p.original, p.confidence))
+                rest = blotted(rest, [(h.start, h.stop) for h in more])
+            for p in self.people.find(rest) if self.people else ():
+                hit = Hit(p.start, p.stop, p.type, p.key, p.original, p.confidence)
+                if p.type != "PERSON":
+                    hits[doc].append(hit)
+                elif p.confidence < self.config.min_confidence or p.surface in self.white or p.original in self.white:
+                    unsure[doc].append(hit)
+                else:
+                    hits[doc].append(hit)
         first = lambda x: x[:2]
         return [(sorted(h, key=first), sorted(u, key=first), sorted(m)) for h, u, m in zip(hits, unsure, masks, strict=True)]
 
+    def _lines(self, whole: str) -> tuple[str, list[int], list[int]]:
+        """The lines in which a detector may find something, joined; where each begins there, and in whole."""
+        low = whole.lower()
+        words = [w for w in SIGN_WORDS if w in low]
+        sign = re.compile("|".join([SIGNS.pattern, *map(re.escape, words)]), re.I) if words else SIGNS
+        lines, here, there, at, size = [], [], [], 0, 0
+        for line in whole.split("\n"):
+            if self.every_line or sign.search(line):
+                lines.append(line)
+                here.append(size)
+                there.append(at)
+                size += len(line) + 1
+            at += len(line) + 1
+        return "\n".join(lines), here, there
+
     @staticmethod
     def _matches(d: Detector, pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
         for m in pattern.finditer(text):
@@ -251,6 +283,8 @@ def valid(d: Detector, value: Column) -> Column:
         return F.call_function("luhn_check", z) & F.length(z).between(13, 19)
     if d.check == "birth":
         return (F.length(z) == 9) | (z.cast("long") % 11 == 0)
+    if d.check == "digit":
+        return value.rlike("[0-9]")
     if d.check == "phone":
         return F.length(z).between(8, 15)
     return F.lit(True)
