@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import prepare, scratch
+from .common import discard, prepare, scratch
 
 STATES, SYMBOLS, TOP, CLASSES = 8, 65_536, 262_144, 256
 ROUNDS, PIECE, STEP, LEAN, STAY = 3, 4096, 1 << 18, 0.4, 0.99
@@ -247,40 +247,50 @@ def maximised(m: Model, got: dict, base: np.ndarray) -> Model:
     return m._replace(start=start / start.sum(), move=move / move.sum(1, keepdims=True), emit=emit / emit.sum(0))
 
 
-def e_step(texts: DataFrame, shared, symbols: int) -> dict:
-    """The expected counts of all texts: each task adds up its own and sends at most symbols + classes + a few rows."""
+def encoded(texts: DataFrame, shared, symbols: int) -> DataFrame:
+    """The symbols of each text, as 32-bit integers, so that rounds needn't read words again."""
+
+    def run(batches):
+        read = Reader(shared.value.hashes, symbols)
+        for batch in batches:
+            out: list[bytes] = []
+            for _, _, h, kind, off in _tokens(batch.column(0)):
+                sym = read(h, kind)[1].astype("<i4")
+                out += [sym[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["symbols"])
+
+    return texts.select("text").mapInArrow(run, "symbols binary")
+
+
+def e_step(rows: DataFrame, shared, symbols: int) -> dict:
+    """The expected counts of all encoded texts: each task adds up its own and sends at most symbols + classes + a few rows."""
     at = symbols + CLASSES
 
     def run(batches):
         m = shared.value
-        read, into = Reader(m.hashes, symbols), _empty(m)
+        into = _empty(m)
         for batch in batches:
-            held: list[tuple] = []
-            n = 0
-            for _, _, h, kind, off in _tokens(batch.column(0)):
-                held.append((read(h, kind)[1], np.diff(off)))
-                n += len(h)
-                if n >= STEP:
-                    expected(*_together(held), m, into)
-                    held, n = [], 0
-            if held:
-                expected(*_together(held), m, into)
+            column = batch.column(0)
+            cut = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            sym = np.frombuffer(column.buffers()[2], "<i4") if len(cut) > 1 else np.zeros(0, "<i4")
+            off = cut.astype(np.int64) // 4
+            first = 0
+            while first < len(column):
+                stop = max(first + 1, int(np.searchsorted(off, off[first] + STEP, "right")) - 1)
+                expected(sym[off[first] : off[stop]], off[first : stop + 1] - off[first], m, into)
+                first = stop
         log = np.full((1, STATES), into["log"] / STATES)
         rows = np.concatenate([into["emit"], into["move"], into["start"][None], log])
         ids = np.flatnonzero((rows != 0).any(1))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *(pa.array(rows[ids, k].astype(np.float32)) for k in range(STATES))], ["k", *(f"s{k}" for k in range(STATES))])
 
     schema = "k int, " + ", ".join(f"s{k} float" for k in range(STATES))
-    rows = texts.select("text").mapInArrow(run, schema).groupBy("k").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES))).toArrow()
+    rows = rows.mapInArrow(run, schema).groupBy("k").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES))).toArrow()
     out = np.zeros((at + STATES + 2, STATES))
     out[rows["k"].to_numpy()] = np.stack([rows[f"s{k}"].to_numpy() for k in range(STATES)], 1)
     return {"emit": out[:at], "move": out[at : at + STATES], "start": out[at + STATES], "log": out[at + STATES + 1].sum()}
 
 
-def _together(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([x for x, _ in held]), np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in held]))])
-
-
 def train(texts: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """The model, and the table (h, kind, n) of all training tokens. texts: doc_id, text."""
     spark = texts.sparkSession
@@ -309,10 +319,13 @@ def train(texts: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     m = Model(hashes, amount, int(totals["n"]), int(totals["v"]), np.full(STATES, 1 / STATES), move, emit / emit.sum(0))
     if not totals["n"]:
         return m, counts
+    rows = scratch(encoded(texts, spark.sparkContext.broadcast(m), symbols), "symbols") if rounds else None
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(m)
-        m = maximised(m, e_step(texts, shared, symbols), base)
+        m = maximised(m, e_step(rows, shared, symbols), base)
         shared.unpersist()
+    if rows is not None:
+        discard(rows)
     return m, counts
 
 
