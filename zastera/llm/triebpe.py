@@ -6,9 +6,11 @@ is the depth-first order of their trie; the last tokens along the path are kept,
 share is worked on once. Walking back over the last tokens gives a word's ids. Known words are looked up (CACHE at
 most, then the table starts anew).
 
-The vocabulary file's path is a parameter; the driver reads it and sends it to the workers. Null texts are empty:
+The vocabulary file's path is a parameter; the driver reads it and sends it to the workers. A file that asks for
+anything else than byte-level BPE with the usual split is refused (`check`), not encoded wrongly. Null texts are empty:
 no tokens. The added tokens' strings in a text are those tokens, as the file's own library takes them by default.
-Texts are encoded whole; repeated rows each.
+Texts are encoded whole; repeated rows each; no rows give no rows. Only doc_id and text are read, whatever other
+columns are called.
 """
 
 from __future__ import annotations
@@ -38,9 +40,28 @@ def _alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def check(file: dict) -> None:
+    """Raises ValueError for a tokenizer file that this encoder doesn't follow. Truncation and padding are never used."""
+    model, split = file["model"], file.get("pre_tokenizer") or {}
+    wrong = []
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        wrong.append("model")
+    if file.get("normalizer"):
+        wrong.append("normalizer")
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        wrong.append("pre_tokenizer")
+    if (file.get("decoder") or {}).get("type") != "ByteLevel":
+        wrong.append("decoder")
+    if any(t.get(k) for t in file.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        wrong.append("added_tokens")
+    if wrong:
+        raise ValueError(f"tokenizer file with unsupported settings: {', '.join(wrong)}")
+
+
 class Bpe:
     def __init__(self, source: str):
         file = json.loads(source)
+        check(file)
         known, model = _alphabet(), file["model"]
         raw = lambda t: bytes(known[c] for c in t)
         self.split = regex.compile(PATTERN)
@@ -168,7 +189,9 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
 
 def _run(docs: DataFrame, path: str, full: bool) -> DataFrame:
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
+    source = Path(path).read_text(encoding="utf-8")
+    check(json.loads(source))
+    shared = docs.sparkSession.sparkContext.broadcast(source)
 
     def run(batches):
         source = shared.value
