@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the folder that driver and executors share (spark.checkpoint.dir) and read again: what is used twice is made once. Only a local master may go without that folder."""
-    spark = df.sparkSession
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder's path below the one that driver and executors share (spark.checkpoint.dir). Only a local master may go without that setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="zastera-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/zastera/{uuid.uuid4().hex}/{name}"
+    return f"{folder.rstrip('/')}/zastera/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in a scratch folder and read again: what is used twice is made once."""
+    path = f"{scratch_folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from zastera.functions import names
 from zastera.functions.detectors import BY_NAME, DETECTORS, KEEP, MASKED, MASKS, Detector
 from zastera.operators import audit, redact
-from zastera.operators.common import stored
+from zastera.operators.common import scratch_folder, stored
+from zastera.streaming import redact as streams
 
 from . import cases
 
@@ -211,6 +212,25 @@ def redact_others(spark: SparkSession, sf: str) -> DataFrame:
     return redact.redacted(_other(spark, sf)).select("doc_id", "text")
 
 
+def redact_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as a stream of files."""
+    schema = _load(spark, sf, "documents").schema
+    # A pattern, as a stream takes no path of a single file.
+    folder, path = scratch_folder(spark), f"{sf}/documents.parque[t]"
+    streams.start(spark.readStream.schema(schema).parquet(path), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("doc_id", "text")
+
+
+def redact_paragraph_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The paragraphs of conversations, labels kept over them as state."""
+    folder = scratch_folder(spark)
+    rows = _load(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("long").alias("para_no"), F.regexp_replace("text", "\n", " ").alias("text"))
+    rows.write.parquet(f"{folder}/in")
+    done = streams.paragraphs(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+    done.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("doc_id", "para_no", "text")
+
+
 def deanonymize(spark: SparkSession, sf: str) -> DataFrame:
     return redact.restored(_done(spark, sf))
 
@@ -381,7 +401,7 @@ def stem_groups(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"extract_{n}": partial(extract_text, n) for n in TEXTS}, **{f"extract_{n}": partial(extract_sample, n) for n in SAMPLES if n not in TEXTS}, "extract_card_sample": partial(extract_sample, "card_bare"), "extract_api_key_sample": partial(extract_sample, "api_key"),
     **{f"extract_other_{n}": partial(extract_other, n) for n in TEXTS}, **{k: partial(mask, *v) for k, v in _MASKS.items()},
-    **{f.__name__: f for f in (label_map, occurrences, map_txt_lines, map_json_rows, redact_documents, redact_map, redact_optional, redact_others, deanonymize, restore_by_map, paragraphs, redact_email, entity_counts_by_lang, entities_by_label, docs_with_pii, docs_without_pii, tag_map_missing, map_row_unused, audit_hard_fails, audit_score, audit_report, whitelist_filter, blacklist_force, rename_types, precedence_resolve, longest_match, confidence_warnings, normalize_key, detector_cases, optional_cases, person_candidates, person_link, person_backfill, standalone_surnames, surname_nominative, first_name_nominative, surname_variants, stem_groups)},
+    **{f.__name__: f for f in (label_map, occurrences, map_txt_lines, map_json_rows, redact_documents, redact_map, redact_optional, redact_others, redact_stream, redact_paragraph_stream, deanonymize, restore_by_map, paragraphs, redact_email, entity_counts_by_lang, entities_by_label, docs_with_pii, docs_without_pii, tag_map_missing, map_row_unused, audit_hard_fails, audit_score, audit_report, whitelist_filter, blacklist_force, rename_types, precedence_resolve, longest_match, confidence_warnings, normalize_key, detector_cases, optional_cases, person_candidates, person_link, person_backfill, standalone_surnames, surname_nominative, first_name_nominative, surname_variants, stem_groups)},
 }
 
 
@@ -400,7 +420,10 @@ ORACLES: dict[str, str] = {
     "map_txt_lines": _K1 + f"SELECT doc_id, type || ' → ' || label || ' : ' || {_SHOWN} || ' (výskyty: ' || CAST(occurrences AS VARCHAR) || ')' AS line FROM known",
     "map_json_rows": _K1 + f"""SELECT doc_id, '{{"version":"1.0","entities":[' || string_agg('{{"type":"' || type || '","label":"' || label || '","original":"' || {_SHOWN} || '","occurrences":' || CAST(occurrences AS VARCHAR) || '}}', ',' ORDER BY type, idx) || ']}}' AS json FROM known GROUP BY doc_id""",
     "redact_documents": _K1 + "SELECT doc_id, text FROM clear", "redact_map": _K1 + f"SELECT doc_id, type, idx, label, {_SHOWN} AS original, occurrences FROM known",
-    "redact_optional": _chain_sql(extra=OPTIONAL_SQL) + "SELECT doc_id, text FROM clear", "redact_others": _chain_sql(_OTHER) + "SELECT doc_id, text FROM clear",
+    "redact_optional": _chain_sql(extra=OPTIONAL_SQL) + "SELECT doc_id, text FROM clear", "redact_others": _chain_sql(_OTHER) + "SELECT doc_id, text FROM clear", "redact_stream": _K1 + "SELECT doc_id, text FROM clear",
+    # A conversation's turns as the lines of one text: labels are numbered over all of them.
+    "redact_paragraph_stream": _chain_sql("SELECT conv_id AS doc_id, string_agg(replace(text, chr(10), ' '), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+    + ", turns AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations), lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM clear) SELECT CAST(doc_id AS VARCHAR) AS doc_id, turn AS para_no, text FROM lines JOIN turns ON turns.conv_id = lines.doc_id AND turns.nth = lines.nth",
     "deanonymize": "SELECT doc_id, text FROM documents", "restore_by_map": "SELECT doc_id, text FROM documents", "paragraphs": "SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS para_no, unnest(string_split(text, chr(10))) AS text FROM documents",
     "redact_email": f"SELECT doc_id, regexp_replace(text, {_quoted(BY_NAME['email'].re2)}, '\\1[[EMAIL]]', 'g') AS text FROM documents",
     "entity_counts_by_lang": _K1 + "SELECT lang, type, CAST(sum(occurrences) AS BIGINT) AS n FROM known JOIN documents USING (doc_id) GROUP BY lang, type", "entities_by_label": _K1 + "SELECT quality, type, count(*) AS n FROM known JOIN labels USING (doc_id) GROUP BY quality, type",
