@@ -145,7 +145,7 @@ class People:
             confidence = 0.95 if options[0][3] <= 2 else 0.8
         else:
             n = 1
-            if KIND_OF.get(show[0].lower()) or KIND_OF.get(show[1].lower()) or show[0].lower() in ADDRESS:
+            if KIND_OF.get(show[0].lower()) or KIND_OF.get(show[1].lower()) or show[0].lower() in ADDRESS or TITLE & {*show[:2]}:
                 return None
             before, after = words[run[0] - 1] if run[0] else None, text[words[run[1]].stop : words[run[1]].stop + NEAR]
             titled = before is not None and before.text in TITLE and words[run[0]].start - before.stop <= 2

@@ -163,6 +163,7 @@ SENTENCES = [
     ("Ing. Petra Černá, Ph.D. (rozená Malá)", "Ing. [[PERSON_1]], Ph.D. (rozená [[PERSON_2]])"),
     ("s panem Janem Novákem, MBA", "s panem [[PERSON_1]], MBA"),
     ("Jakub pracoval jako řidič. Praha je velká.", "[[PERSON_1]] pracoval jako řidič. Praha je velká."),
+    ("Ing Ing Ing Mgr", "Ing Ing Ing Mgr"),
     ("Jan Novák s.r.o. dodává", "Jan Novák s.r.o. dodává"),
     ("Jednatel Společnosti a Ředitelka Centrum", "Jednatel Společnosti a Ředitelka Centrum"),
     ("Česká Spořitelna a Komerční Banka", "Česká Spořitelna a Komerční Banka"),
