@@ -11,7 +11,7 @@ from zastera.plans.queries import ORACLES, QUERIES
 
 ROOT = Path(__file__).parents[1]
 #: Queries without SQL, and where they are tested instead.
-TESTED = {"audit_score": "test_audit.py", "audit_report": "test_audit.py"}
+TESTED = {"audit_report": "test_audit.py"}
 
 TEXTS = ["call +1 (555) 123-4567 now", "paid 4111111111111111 today", "paid 4111111111111112", 'token = "' + "ab" * 20 + '"', "mail a@b.com\nor +1 (555) 123-4567", "Heslo: tajne7", "IBAN CZ6508000000192000145399 end", "RČ 850101/1234 x", "host 10.0.0.1 up", "nothing\nhere", None, "", "Jan Novák"]
 KNOWN = [(0, "PHONE", "+1 (555) 123-4567"), (1, "CARD", "4111111111111111"), (3, "API_KEY", "ab" * 20), (4, "EMAIL", "a@b.com"), (4, "PHONE", "+1 (555) 123-4567"), (5, "PASSWORD", "tajne7"), (6, "IBAN", "CZ6508000000192000145399"), (7, "BIRTH_ID", "850101/1234"), (8, "IP", "10.0.0.1"), (12, "PERSON", "Jan Novák")]

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from zastera.functions.detectors import BY_NAME
 from zastera.functions.names import Library, agreeing
 
+from .common import on_path
 from .redact import TAG, valid
 
 # Penalties, bonuses, the pass mark, and what may not be left in clear.
@@ -85,6 +86,7 @@ def _nominative(x):
 
 def findings(docs: DataFrame, known: DataFrame, test_mode: bool = False, names: tuple[str, ...] = HARD_DETECTORS) -> DataFrame:
     """(doc_id, rule, severity, penalty, evidence). test_mode: the map has to hold whole values."""
+    on_path(docs.sparkSession)
     used = tags(docs)
     rule = lambda rows, name, evidence: rows.select("doc_id", F.lit(name).alias("rule"), evidence.alias("evidence"))
     label, original = F.col("label"), F.col("original")

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def on_path(spark: SparkSession) -> None:
+    """Puts this package on the path of Python workers that see this folder; on a cluster it is shipped or installed."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+
 
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder's path below the one that driver and executors share (spark.checkpoint.dir). Only a local master may go without that setting."""

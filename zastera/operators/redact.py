@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from zastera.functions.detectors import CHECKS, DETECTORS, KEEP, MASKED, MASKS, OPTIONAL, SECRET_TYPES, SIGN_WORDS, SIGNS, Detector, rank
 from zastera.functions.names import Library
 
+from .common import on_path
 from .people import People
 
 TAG = r"\[\[[A-ZÀ-Ž_]+_[0-9]+\]\]"
@@ -236,6 +237,7 @@ def rendered(text: str, hits: list[Hit], masks: list[tuple[int, int, str]], rena
 def redacted(docs: DataFrame, config: Config = Config(), detectors: Iterable[Detector] = tuple(DETECTORS), names: tuple[list[str], list[str]] | None = None) -> DataFrame:
     """(doc_id, text, entities, warnings) of every row of docs (doc_id, text). names: male and female first names, by default the short own list."""
     detectors = tuple(detectors)
+    on_path(docs.sparkSession)
 
     def run(batches):
         finder = Finder(config, detectors, Library(*names) if names else None)

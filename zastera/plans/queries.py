@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from zastera.functions import names
 from zastera.functions.detectors import BY_NAME, DETECTORS, KEEP, MASKED, MASKS, Detector
 from zastera.operators import audit, redact
-from zastera.operators.common import scratch_folder, stored
+from zastera.operators.common import on_path, scratch_folder, stored
 from zastera.streaming import redact as streams
 
 from . import cases
@@ -47,6 +47,7 @@ TEXTS = ("email", "ipv4", "card_bare", "hex_token", "phone_intl", "api_key")
 
 
 def _load(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    on_path(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -409,6 +410,25 @@ def _sample_sql(text: str) -> str:
     return f"SELECT c_custkey AS doc_id, {text} AS text FROM customer"
 
 
+def _score_sql() -> str:
+    """The audit's rules over the texts and the map that the engine's SQL gives. Bonuses as in audit.score."""
+    outside = "SELECT doc_id, regexp_replace(text, '\\[\\[[A-ZÀ-Ž_]+_[0-9]+\\]\\]', chr(10), 'g') AS text FROM clear WHERE text IS NOT NULL"
+    plain = " UNION ".join(f"SELECT doc_id, 'plain_{BY_NAME[n].type.lower()}' AS rule, value AS evidence FROM ({_found_sql(n, outside)})" for n in audit.HARD_DETECTORS)
+    # The rules' patterns without lookaround.
+    texts = {
+        "id_card_as_phone": (r"(?i)(?:^|\P{L})(?:OP|pas|občanský průkaz|č\. pasu)\s*:?\s*\[\[PHONE_\d+\]\]", "hard", audit.HARD, 1), "bank_in_case_number": (r"(?i)(?:^|\P{L})(?:FÚ|KS|VS|čj)\s?-?\s?\[\[BANK_\d+\]\]", "major", audit.MAJOR, 1),
+        "phone_in_technical_token": (r"(?:IRIS|VOICE|HASH_BIO|DB_GENOME)_\w*\[\[PHONE_\d+\]\]", "major", audit.MAJOR, 1), "card_check_value": (r"(?i)cv[vc]2?\s*:?\s*\d{3,4}(?:\D|$)", "major", audit.MAJOR, 1), "card_expiry": (r"(?i)(?:exp|expirace|platnost)\.?\s*:?\s*\d{2}/\d{2,4}", "major", audit.MAJOR, 1),
+        "birth_date_in_clear": (r"(?i)(?:^|\P{L})(?:nar\.|narozen[áaý]?|datum narození)\s*:?\s*\d{1,2}[./-]\s?\d{1,2}[./-]\s?\d{4}", "minor", audit.SMALL, 0), "glued_tag": (r"\]\]\p{L}\w*|\d\[\[(?:BANK|BIRTH_ID|IBAN|PHONE)_\d+\]\]", "minor", audit.SMALL, 0), "stray_sign": (r"\S\.:", "minor", audit.SMALL, 0),
+    }
+    found = " UNION ALL ".join(f"SELECT doc_id, '{s}' AS severity, CAST({p} AS DOUBLE) AS penalty, 0 AS l, {w} AS w FROM (SELECT doc_id, unnest(regexp_extract_all(text, {_quoted(x)})) FROM clear)" for x, s, p, w in texts.values())
+    maps = f"SELECT doc_id, 'hard', CAST({audit.HARD} AS DOUBLE), 0, 0 FROM tags ANTI JOIN known USING (doc_id, label) UNION ALL SELECT doc_id, 'hard', CAST({audit.HARD} AS DOUBLE), 0, 0 FROM known WHERE trim(original) = '' UNION ALL SELECT doc_id, 'major', CAST({audit.MAJOR} AS DOUBLE), 0, 0 FROM known ANTI JOIN tags USING (doc_id, label)"
+    return _K1 + f""", tags AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\[\\[[A-ZÀ-Ž_]+_[0-9]+\\]\\]')) AS label FROM clear),
+findings AS ({found} UNION ALL SELECT doc_id, 'hard', CAST({audit.HARD} AS DOUBLE), 1, 0 FROM ({plain}) UNION ALL {maps}),
+sums AS (SELECT d.doc_id, count(*) FILTER (severity = 'hard') AS hard, count(*) FILTER (severity = 'major') AS major, count(*) FILTER (severity = 'minor') AS minor, coalesce(sum(penalty), 0) AS penalty, least({audit.MOST_BONUS}, {audit.BONUS} * least(2, 3 - coalesce(max(l), 0) - coalesce(max(w), 0))) AS bonus FROM documents d LEFT JOIN findings USING (doc_id) GROUP BY d.doc_id),
+scores AS (SELECT *, round(10 - penalty + bonus, 1) AS score FROM sums)
+SELECT doc_id, hard, major, minor, round(penalty, 1) AS penalty, CAST(bonus AS DOUBLE) AS bonus, CAST(score AS DOUBLE) AS score, CASE WHEN score >= {audit.PASS} AND hard = 0 THEN 'GO' ELSE 'NO-GO' END AS verdict FROM scores"""
+
+
 _K1 = _chain_sql()
 _SHOWN = "CASE WHEN type = 'CARD' THEN '***' || right(original, 4) WHEN type IN ('PASSWORD', 'API_KEY', 'SECRET', 'SSH_KEY') THEN '***' ELSE original END"
 _CUSTOMER = "CAST(c_custkey AS VARCHAR)"
@@ -430,6 +450,7 @@ ORACLES: dict[str, str] = {
     "docs_with_pii": _K1 + "SELECT doc_id FROM documents SEMI JOIN known USING (doc_id)", "docs_without_pii": _K1 + "SELECT doc_id FROM documents ANTI JOIN known USING (doc_id)",
     "tag_map_missing": _K1 + "SELECT doc_id, label, occurrences AS n FROM known WHERE type = 'IP'", "map_row_unused": _K1 + "SELECT doc_id, label FROM known WHERE type = 'EMAIL'",
     "audit_hard_fails": "SELECT rule, count(*) AS n FROM (" + " UNION ".join(f"SELECT doc_id, 'plain_{BY_NAME[n].type.lower()}' AS rule, value FROM ({_found_sql(n, 'SELECT doc_id, text FROM documents')})" for n in audit.HARD_DETECTORS) + ") GROUP BY rule",
+    "audit_score": _score_sql(),
     "whitelist_filter": f"SELECT c_custkey AS doc_id, 'USERNAME' AS type, CAST(1 AS BIGINT) AS idx, '[[USERNAME_1]]' AS label, 'user' || {_CUSTOMER} AS original, CAST(1 AS BIGINT) AS occurrences FROM customer WHERE c_custkey <> 7",
     "blacklist_force": f"SELECT c_custkey AS doc_id, 'firma [[FIRMA_1]] ' || {_CUSTOMER} || ' ok' AS text FROM customer", "rename_types": "SELECT c_custkey AS doc_id, 'mail [[MAIL_1]] a [[UŽIVATEL_1]]' AS text FROM customer",
     "precedence_resolve": "SELECT c_custkey AS doc_id, 'DIČ: [[DIC_1]] účet [[BANK_1]]' AS text FROM customer",

@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from zastera.functions.detectors import DETECTORS
-from zastera.operators.redact import Config, Finder, redacted, shown
+from zastera.functions.detectors import DETECTORS, SECRET_TYPES
+from zastera.operators.common import on_path
+from zastera.operators.redact import Config, Finder, redacted
 
 _OUT = "doc_id string, para_no long, text string, new string"
 
@@ -26,10 +28,6 @@ def start(stream: DataFrame, folder: str, checkpoint: str, config: Config = Conf
 
 def blotted(done: DataFrame, config: Config = Config()) -> DataFrame:
     """`redacted` rows whose entities hold secrets as the written map does."""
-    from pyspark.sql import functions as F
-
-    from zastera.functions.detectors import SECRET_TYPES
-
     secret = [*SECRET_TYPES, *(config.rename[t] for t in SECRET_TYPES if t in config.rename)]
     card = ["CARD", config.rename.get("CARD", "CARD")]
 
@@ -72,8 +70,7 @@ def paragraphs(stream: DataFrame, config: Config = Config()) -> DataFrame:
         state.update((json.dumps(seen, ensure_ascii=False),))
         yield pd.DataFrame(out, columns=["doc_id", "para_no", "text", "new"])
 
+    on_path(stream.sparkSession)
     rows = stream.selectExpr("CAST(doc_id AS STRING) AS doc_id", "CAST(para_no AS LONG) AS para_no", "text")
     return rows.groupBy("doc_id").applyInPandasWithState(work, _OUT, "seen string", "append", GroupStateTimeout.NoTimeout)
 
-
-__all__ = ["blotted", "paragraphs", "shown", "start"]
