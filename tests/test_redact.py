@@ -94,6 +94,15 @@ def test_the_engine_is_the_plain_version(spark):
         assert r["text"] == redact.rendered(texts[r["doc_id"]], hits, masks, {})[0]
 
 
+def test_lines_without_a_sign_hold_nothing():
+    """Looking at every line finds the same."""
+    texts = [line for x, _ in [*cases.DETECTED, *cases.OPTIONAL, *cases.SENTENCES] for line in (x or "").split("\n")]
+    config = redact.Config(extra=redact.OPTIONAL)
+    some, every = (redact.Finder(c, DETECTORS, None) for c in (config, config._replace(blacklist=(("NONE", "a value that is nowhere"),))))
+    assert every.every_line and not some.every_line
+    assert some.find(texts) == every.find(texts)
+
+
 def test_rows_are_independent(spark):
     rows = [(1, "a@b.cz x"), (1, "c@d.cz y"), (None, "e@f.cz"), (None, None), (2, "a@b.cz a@b.cz\nc@d.cz")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("entities", F.lit("clash")).withColumn("label", F.lit(1))
@@ -127,7 +136,8 @@ def test_options():
     assert work("Jan Novák (J. N.)")[0] == "[[PERSON_1]] ([[PERSON_1]])"
     clear, _, unsure = work("kód 12345678", min_confidence=0.6)
     assert clear == "kód 12345678" and [(h.type, h.original) for h in unsure] == [("ICO", "12345678")]
-    assert work("Jan Novák", whitelist=("Jan Novák",))[0] == "Jan Novák"
+    clear, _, unsure = work("Jan Novák", whitelist=("Jan Novák",))
+    assert clear == "Jan Novák" and unsure == []
 
 
 def test_longest_match_wins():

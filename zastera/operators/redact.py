@@ -151,13 +151,10 @@ class Finder:
                 hits[doc] += more
                 rest = blotted(rest, [(h.start, h.stop) for h in more])
             for p in self.people.find(rest) if self.people else ():
-                hit = Hit(p.start, p.stop, p.type, p.key, p.original, p.confidence)
-                if p.type != "PERSON":
-                    hits[doc].append(hit)
-                elif p.confidence < self.config.min_confidence or p.surface in self.white or p.original in self.white:
-                    unsure[doc].append(hit)
-                else:
-                    hits[doc].append(hit)
+                if p.surface in self.white or p.original in self.white:
+                    continue
+                sure = p.confidence >= self.config.min_confidence or p.type != "PERSON"
+                (hits if sure else unsure)[doc].append(Hit(p.start, p.stop, p.type, p.key, p.original, p.confidence))
         first = lambda x: x[:2]
         return [(sorted(h, key=first), sorted(u, key=first), sorted(m)) for h, u, m in zip(hits, unsure, masks, strict=True)]
 
