@@ -313,6 +313,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found, several = search(postings, _block([])), False
     else:
         discard(postings)
+        discard(cut)
     if several:
         every = lambda c: F.flatten(F.collect_list(c))
         found = found.groupBy("row").agg(
