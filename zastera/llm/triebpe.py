@@ -3,8 +3,10 @@
 For each prefix of a word, BPE ends in one last token: the token that is a suffix of the prefix and that no merge
 joins to the last token of what stands before it. The distinct words of a batch are visited in sorted order, which
 is the depth-first order of their trie; the last tokens along the path are kept, so a prefix that several words
-share is worked on once. Walking back over the last tokens gives a word's ids. Known words are looked up (CACHE at
-most, then the table starts anew).
+share is worked on once. Which tokens a prefix ends with is read off an automaton of the vocabulary (each state is the
+longest end of the prefix that begins a token, and knows the tokens among its ends, longest first), whose state is kept
+along the path too. Walking back over the last tokens gives a word's ids. Known words are looked up (CACHE at most,
+then the table starts anew).
 
 The vocabulary file's path is a parameter; the driver reads it and sends it to the workers. A file that asks for
 anything else than byte-level BPE with the usual split is refused (`check`), not encoded wrongly. Null texts are empty:
@@ -17,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
+from array import array
 from pathlib import Path
 
 import numpy as np
@@ -76,11 +80,39 @@ class Bpe:
             pair = self.id[a], self.id[b]
             self.rank[pair] = k
             self.made.setdefault(self.id[a + b], (*pair, k))
-        self.longest = max(map(len, self.id))
-        self.joins: dict[tuple[int, int], bool] = {}
+        #: Whether a token's own bytes are encoded as that token; None: not known yet.
+        self.whole: list[bool | None] = [None] * (max(self.id.values()) + 1)
+        self._automaton()
+        self.joins: dict[int, bool] = {}
         self.edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.words: dict[str, bytes] = {}
 
+    def _automaton(self) -> None:
+        """States are beginnings of tokens: go (state, byte), the state of the longest end, length, and the states of the tokens a state ends with."""
+        go: dict[int, int] = {}
+        length, token = [0], [-1]
+        for x, k in self.id.items():
+            state = 0
+            for byte in x:
+                new = go.get(state << 8 | byte)
+                if new is None:
+                    new = go[state << 8 | byte] = len(length)
+                    length.append(length[state] + 1)
+                    token.append(-1)
+                state = new
+            token[state] = k
+        fall, first, more = [0] * len(length), [0] * len(length), [0] * len(length)
+        for key, new in sorted(go.items(), key=lambda e: length[e[1]]):
+            state, byte = key >> 8, key & 255
+            if state:
+                s = fall[state]
+                while (to := go.get(s << 8 | byte)) is None and s:
+                    s = fall[s]
+                fall[new] = to or 0
+            more[new] = first[fall[new]]
+            first[new] = new if token[new] >= 0 else more[new]
+        self.go, self.fall, self.length, self.token, self.first, self.more = go, fall, length, token, first, more
+
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """(token, rank at which it is made) along the token's left (0) or right (1) edge, from the byte up."""
         if (found := self.edges.get((token, side))) is None:
@@ -93,24 +125,19 @@ class Bpe:
 
     def stays(self, a: int, b: int) -> bool:
         """Whether no merge crosses the border between tokens a and b."""
-        if (found := self.joins.get((a, b))) is None:
-            left, right, i, j = self._edge(a, 1), self._edge(b, 0), 0, 0
-            found = True
-            while True:
-                here = self.rank.get((left[i][0], right[j][0]), FAR)
-                up = left[i + 1][1] if i + 1 < len(left) else FAR
-                up2 = right[j + 1][1] if j + 1 < len(right) else FAR
-                if here < FAR and here < up and here <= up2:  # of equal pairs the left one merges first
-                    found = False
-                    break
-                if up == up2 == FAR:
-                    break
-                if up <= up2:
-                    i += 1
-                else:
-                    j += 1
-            self.joins[a, b] = found
-        return found
+        left, right, i, j = self._edge(a, 1), self._edge(b, 0), 0, 0
+        while True:
+            here = self.rank.get((left[i][0], right[j][0]), FAR)
+            up = left[i + 1][1] if i + 1 < len(left) else FAR
+            up2 = right[j + 1][1] if j + 1 < len(right) else FAR
+            if here < FAR and here < up and here <= up2:  # of equal pairs the left one merges first
+                return False
+            if up == up2 == FAR:
+                return True
+            if up <= up2:
+                i += 1
+            else:
+                j += 1
 
     def encode_words(self, words: list[str]) -> None:
         """Puts the ids of distinct words into the table."""
@@ -118,36 +145,59 @@ class Bpe:
             self.words.clear()
         if len(self.joins) > 4 * CACHE:
             self.joins.clear()
-        find, stays, longest = self.id.get, self.stays, self.longest
-        before, last, size = b"", [-1], [0]  # of each prefix of the path: its last token, and that token's length
+        known, whole = self.joins, self.whole
+        go, fall, length, tokens, first, more = self.go.get, self.fall, self.length, self.token, self.first, self.more
+        before, last, size, states = b"", [-1], [0], [0]  # of each prefix of the path: its last token, that token's length, the automaton's state
         for word, text in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1 :], size[shared + 1 :]
+            del last[shared + 1 :], size[shared + 1 :], states[shared + 1 :]
+            state = states[-1]
             for end in range(shared + 1, len(word) + 1):
-                for n in range(min(end, longest), 0, -1):
-                    token = find(word[end - n : end])
-                    if token is not None and (n == end or stays(last[end - n], token)) and (n < end or self._whole(token)):
-                        last.append(token)
-                        size.append(n)
+                byte = word[end - 1]
+                while (to := go(state << 8 | byte)) is None and state:
+                    state = fall[state]
+                state = to or 0
+                states.append(state)
+                found = first[state]
+                while True:  # every byte is a token, so one fits
+                    token = tokens[found]
+                    at = end - length[found]
+                    if at:
+                        pair = last[at] << 24 | token
+                        fits = known.get(pair)
+                        if fits is None:
+                            fits = known[pair] = self.stays(last[at], token)
+                    else:
+                        fits = whole[token]
+                        if fits is None:
+                            fits = whole[token] = self._whole(token)
+                    if fits:
                         break
+                    found = more[found]
+                last.append(token)
+                size.append(end - at)
             ids, at = [], len(word)
             while at:
                 ids.append(last[at])
                 at -= size[at]
-            self.words[text] = np.array(ids[::-1], "<u4").tobytes()
+            ids.reverse()
+            made = array("I", ids)
+            if sys.byteorder == "big":
+                made.byteswap()
+            self.words[text] = made.tobytes()
             before = word
 
     def _whole(self, token: int) -> bool:
         """Whether a token's own bytes are encoded as that token."""
-        return token not in self.made or self.stays(self.made[token][0], self.made[token][1]) is False
+        return token not in self.made or not self.stays(self.made[token][0], self.made[token][1])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
         parts = []
         for t in texts:
-            if self.marks and (cuts := list(self.marks.finditer(t))):
+            if any(x in t for x in self.special) and (cuts := list(self.marks.finditer(t))):
                 edge = [0, *(x for m in cuts for x in m.span()), len(t)]
                 own = [self.split.findall(t[a:b]) for a, b in zip(edge[::2], edge[1::2], strict=True)]
                 parts.append((own, [m[0] for m in cuts]))
