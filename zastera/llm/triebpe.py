@@ -5,8 +5,8 @@ joins to the last token of what stands before it. The distinct words of a batch
 is the depth-first order of their trie; the last tokens along the path are kept, so a prefix that several words
 share is worked on once. Which tokens a prefix ends with is read off an automaton of the vocabulary (each state is the
 longest end of the prefix that begins a token, and knows the tokens among its ends, longest first), whose state is kept
-along the path too. Walking back over the last tokens gives a word's ids. Known words are looked up (CACHE at most,
-then the table starts anew).
+along the path too. Walking back over the last tokens gives a word's ids. Known words are looked up (CACHE at most
+and those of the texts at hand; then only the latter stay).
 
 The vocabulary file's path is a parameter; the driver reads it and sends it to the workers. A file that asks for
 anything else than byte-level BPE with the usual split is refused (`check`), not encoded wrongly. Null texts are empty:
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 
 from .common import prepare
 
-CACHE, BATCH = 300_000, 1 << 20
+CACHE, PAIRS, BATCH = 500_000, 1_200_000, 1 << 20
 FAR = 1 << 60
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 # Fixed value: how byte-level BPE vocabularies split a text.
@@ -141,9 +141,7 @@ class Bpe:
 
     def encode_words(self, words: list[str]) -> None:
         """Puts the ids of distinct words into the table."""
-        if len(self.words) > CACHE:
-            self.words.clear()
-        if len(self.joins) > 4 * CACHE:
+        if len(self.joins) > PAIRS:
             self.joins.clear()
         known, whole = self.joins, self.whole
         go, fall, length, tokens, first, more = self.go.get, self.fall, self.length, self.token, self.first, self.more
@@ -207,8 +205,8 @@ class Bpe:
         missing = wanted - self.words.keys()
         if missing:
             if len(self.words) + len(missing) > CACHE:
-                self.words.clear()
-                missing = wanted
+                # The words of these texts stay, and with them the frequent ones.
+                self.words = {w: self.words[w] for w in wanted - missing}
             self.encode_words(list(missing))
         get = self.words.__getitem__
         out = []
