@@ -55,6 +55,22 @@ def test_case_forms_by_hand():
             assert case in {c for _, c in made[form]}, (n, form, case)
 
 
+@pytest.mark.parametrize("nominative, words, want", cases.VARIANTS)
+def test_words_that_are_forms_of_a_surname(nominative, words, want):
+    made = names.surname_forms(nominative)
+    assert [w for w in words.split() if w in made] == want.split()
+
+
+def test_surnames_that_lose_or_keep_their_e():
+    # The genitive each surname has and the one it has not; where letters don't tell, both are given.
+    for n, yes, no in [("Vlček", "Vlčka", "Vlčeka"), ("Marek", "Marka", "Mareka"), ("Michálek", "Michálka", "Micháleka"), ("Moravec", "Moravce", "Moravece"), ("Zdeněk", "Zdeňka", "Zdeněka"), ("Kozel", "Kozla", "Kozela")]:
+        assert yes in names.surname_forms(n) and no not in names.surname_forms(n), n
+    for n, yes in [("Doležel", "Doležela"), ("Nobel", "Nobela"), ("Dubček", "Dubčeka"), ("Šrek", "Šreka"), ("Luděk", "Luděka"), ("Daniel", "Daniela")]:
+        assert yes in names.surname_forms(n), n
+    # A form with an e too much still names the person.
+    assert work("Přišel Jan Hájek. S Janem Hájekem mluvil pan Hájek.")[0] == "Přišel [[PERSON_1]]. S [[PERSON_1]] mluvil pan [[PERSON_1]]."
+
+
 def test_readings_run_the_forms_backwards():
     """Every form of every surname in the cases leads back to it."""
     for _, n in cases.NOMINATIVES:
