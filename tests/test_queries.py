@@ -49,6 +49,17 @@ def test_maps_and_counts(spark, sf):
     assert {r["rule"]: r["n"] for r in rows("audit_hard_fails")} == {"plain_card": 1, "plain_api_key": 1, "plain_email": 1, "plain_password": 1, "plain_iban": 1, "plain_birth_id": 1}
 
 
+def test_surname_variants_by_its_sql(spark, tmp_path):
+    """With keys of every remainder, repeated, negative and null."""
+    duckdb = pytest.importorskip("duckdb")
+    keys = [*range(-30, 31), 5, 5, -7, 2**62, -(2**62), None]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW customer AS FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+        want = db.execute(ORACLES["surname_variants"]).fetchall()
+    assert want and sorted(map(tuple, QUERIES["surname_variants"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_the_flagship_plan_is_one_narrow_stage(spark, sf):
     plan = QUERIES["redact_documents"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     # A small table in few files is dealt out on a local master; nothing else moves.
